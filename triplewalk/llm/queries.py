@@ -14,6 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verified overlap of a document with a benchmark item, in tokens."""
+    from .decontaminate import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every secret of every document, by kind, place and digest."""
+    from .secrets import find_secrets
+
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, keep_id): each near duplicate with the document of its group that stays."""
     from .simhash_dedup import near_duplicates
@@ -22,6 +36,19 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("doc_id <> keep_id").select("doc_id", "keep_id").distinct()
 
 
+#: Share of each source in the mix, relative to others; those not named have 1.
+MIX_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 1.5}
+MIX_SHARE = 0.4
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, n_tokens) of the documents that fill the budgets of their sources."""
+    from .mixing import mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, weights=MIX_WEIGHTS, budget_share=MIX_SHARE, length="n_tokens").select("doc_id", "source", "n_tokens")
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
