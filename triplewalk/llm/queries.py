@@ -14,6 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, expected_grade, top_probability) of the documents selected for quality, of all documents."""
+    from .quality import fit, select
+
+    docs = table(spark, sf_dir, "documents")
+    return select(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, cross_entropy, accepted) of every document."""
+    from .language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every verified overlap of a document with a benchmark item, in tokens."""
     from .decontaminate import overlaps
