@@ -44,6 +44,49 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+#: Rules of the URL filter: (host and path, action).
+URL_RULES = [(f"{host}.example.{tld}/", "block") for host in ("ads-track", "casino-win", "tionsh", "ththan") for tld in ("com", "net", "org")] + [
+    ("blog.casino-win.example.com/en/", "allow"),
+    ("tionsh.example.net/en/", "allow"),
+    ("www.ththan.example.com/", "allow"),
+    ("example.org/de/", "block"),
+    ("ththre.example.com/fr/825", "block"),
+    ("m.example.net/", "block"),
+]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, action, rule) of every page."""
+    from .url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "pattern string, action string"))
+
+
+OP5_SQL = f"""
+with rules(rule, action) as (values {", ".join(f"('{p}', '{a}')" for p, a in URL_RULES)}),
+cut as (
+  select distinct url,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)), '^.*@', ''), ':[0-9]*$', ''), '[.]+$', '') as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) as p, regexp_extract(url, '^[^?#]*([?][^#]*)', 1) as query
+  from pages),
+split as (select url, host, case when p = '' then '/' else p end as path, query from cut where host <> ''),
+suffixes as (
+  select url, path, query, host as suffix from split
+  union
+  select url, path, query, array_to_string(string_split(host, '.')[k:], '.') from split, range(1, 64) r(k)
+  where k < len(string_split(host, '.')) and not regexp_matches(host, '^[0-9.]+$')),
+expressions as (
+  select url, suffix || path || query as e from suffixes
+  union select url, suffix || path from suffixes
+  union select url, suffix || array_to_string(string_split(path, '/')[1:k], '/') || '/' from suffixes, range(1, 64) r(k) where k < len(string_split(path, '/'))
+  union select url, suffix || '/' from suffixes where not contains(path, '/')),
+best as (
+  select url, action, rule, row_number() over (partition by url order by instr(rule, '/') desc, length(rule) desc, action, rule) as n
+  from expressions join rules on e = rule)
+select page_id, pages.url, coalesce(action, 'allow') as action, rule from pages left join best on pages.url = best.url and n = 1
+"""
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, keep_id): each near duplicate with the document of its group that stays."""
     from .simhash_dedup import near_duplicates
@@ -71,4 +114,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_url_filter": OP5_SQL}
