@@ -95,6 +95,13 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("doc_id <> keep_id").select("doc_id", "keep_id").distinct()
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every benchmark item under the unbounded n-grams of all documents."""
+    from .suffix_lm import score
+
+    return score(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+
+
 #: Share of each source in the mix, relative to others; those not named have 1.
 MIX_WEIGHTS = {"src0": 2.0, "src1": 0.5, "src2": 1.5}
 MIX_SHARE = 0.4
@@ -108,6 +115,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, weights=MIX_WEIGHTS, budget_share=MIX_SHARE, length="n_tokens").select("doc_id", "source", "n_tokens")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, end, is_first) of every passage of 50 tokens or more that repeats across documents."""
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "is_first")
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
