@@ -15,13 +15,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cluster import fresh
+from . import textcore as tc
+from .cluster import cut, fresh
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def count_words(texts: pa.Array) -> np.ndarray:
+    out = np.zeros(len(texts), np.int64)
+    for lo, hi in tc.chunks(texts):
+        raw, at = tc.flat(texts.slice(lo, hi - lo), lower=False)
+        if len(raw):
+            word = ~_SPACE[raw]
+            start = word.copy()
+            start[1:] &= ~word[:-1]
+            inner = at[:-1][np.diff(at) > 0]
+            start[inner] = word[inner]
+            out[lo:hi] = np.diff(np.concatenate([[0], np.cumsum(start)])[at])
+    return out
 
 
 def word_count(text: Column) -> Column:
-    """Number of maximal runs without white space (ASCII); 0 for null."""
-    trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, r"\s+"))).otherwise(0).cast("bigint")
+    """Number of maximal runs without (ASCII) white space; 0 for null. Counted in one vectorised pass over the bytes."""
+    from pyspark.sql.functions import arrow_udf
+
+    @arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        return pa.array(count_words(texts))
+
+    return count(text)
 
 
 def tokenizer_count(path: str):
@@ -113,7 +137,7 @@ def mix(docs: DataFrame, *, weights: dict | None = None, default_weight: float =
     """
     n, rank, take, at = (fresh(docs, c) for c in ("_length", "_rank", "_take", "_source"))
     counted = docs.withColumn(n, count(docs["text"])).withColumn(at, docs["source"].cast("string")).filter(F.col(n) > 0)
-    counts = counted.groupBy(F.col(at).alias("source"), F.col(n).alias("length")).agg(F.count("*").alias("count"))
+    counts = cut(counted.groupBy(F.col(at).alias("source"), F.col(n).alias("length")).agg(F.count("*").alias("count")))
     sums = {r[0]: int(r[1]) for r in counts.groupBy("source").agg(F.sum(F.col("length") * F.col("count"))).collect()}
     share = budgets(sums, weights or {}, default_weight, int(sum(sums.values()) * budget_share) if budget_tokens is None else budget_tokens)
 
