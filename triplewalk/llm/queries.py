@@ -115,6 +115,13 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, weights=MIX_WEIGHTS, budget_share=MIX_SHARE, length="n_tokens").select("doc_id", "source", "n_tokens")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, neighbor_id, rank, similarity): ten neighbours of every embedding."""
+    from .nn_descent import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start, end, is_first) of every passage of 50 tokens or more that repeats across documents."""
     from .suffix_dedup import repeated_passages
