@@ -123,12 +123,12 @@ class Model(NamedTuple):
         return -total / np.maximum(size, 1)[:, None], size, letters
 
     def classify(self, texts: pa.Array):
-        """(index of the language, its entropy, accepted) of each row. Entropies that tie go to the first language by name."""
+        """(index of the language, its entropy, or 0 without a letter, accepted) of each row. Entropies that tie go to the first language by name."""
         h, size, letters = self.entropy(texts)
         best = np.argmin(h, axis=1) if len(h) else np.zeros(0, np.int64)
         low = h[np.arange(len(h)), best]
         limit = self.centre[best] + self.z * np.sqrt(self.between[best] + self.within[best] / np.maximum(size, 1))
-        return best, low, (letters > 0) & (low <= limit)
+        return best, np.where(letters > 0, low, 0.0), (letters > 0) & (low <= limit)
 
 
 def train(samples: dict[str, list[str]], order: int = 4, held_out: int = 5, z: float = 6.0, reject_share: float = 0.005) -> Model:

@@ -25,7 +25,7 @@ _WORD[0x80:] = True
 for _lo, _hi in ((48, 58), (65, 91), (97, 123)):
     _WORD[_lo:_hi] = True
 #: Bytes of text handled at once; a longer text is handled alone, whole.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 
 class _Powers:
