@@ -83,22 +83,27 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def distinct_texts(x: np.ndarray, first: np.ndarray, sketch: int = 16) -> np.ndarray:
-    """Rows that aren't near copies of an earlier one, by bottom sketches of their features: copies would pass for evidence."""
-    h = tc.mix(x.astype(np.uint64))
-    seen: dict[int, list[int]] = {}
-    kept, sketches = [], []
-    for r in range(len(first) - 1):
-        low = np.sort(h[first[r] : first[r + 1]])[:sketch].tolist()
-        near = {}
-        for v in low[: sketch // 2]:
-            for other in seen.get(v, ()):
-                near[other] = near.get(other, 0) + 1
-        if any(len(set(low) & set(sketches[o])) * 2 >= len(low) for o in near):
+def distinct_texts(x: np.ndarray, first: np.ndarray, bins: int = 32, alike: float = 0.6) -> np.ndarray:
+    """Rows that aren't near copies of an earlier one: copies would pass for evidence. Of each row the least word hash in each of
+    ``bins``; a row that shares two neighbouring ones with an earlier row, and ``alike`` of all, is a copy of it."""
+    n, word = len(first) - 1, x < 1 << BITS
+    h, cell = tc.mix(x[word].astype(np.uint64)), tc.rows_of(first)[word] * bins
+    cell += (h & np.uint64(bins - 1)).astype(np.int64)
+    order = np.lexsort((h, cell))
+    h, cell = h[order], cell[order]
+    least = np.append(True, cell[1:] != cell[:-1]) if len(cell) else np.zeros(0, bool)
+    sketch = np.zeros(n * bins, np.uint64)
+    sketch[cell[least]] = h[least]
+    sketch = sketch.reshape(n, bins)
+    seen: dict[tuple, int] = {}
+    kept = []
+    for r in range(n):
+        keys = [(k, a, b) for k, (a, b) in enumerate(sketch[r].reshape(-1, 2).tolist()) if a and b]
+        near = {seen[k] for k in keys if k in seen}
+        if near and max((sketch[r] == sketch[o]).mean() for o in near) >= alike:
             continue
-        for v in low:
-            seen.setdefault(v, []).append(len(sketches))
-        sketches.append(low)
+        for k in keys:
+            seen.setdefault(k, r)
         kept.append(r)
     return np.array(kept, np.int64)
 
