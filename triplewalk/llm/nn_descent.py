@@ -239,6 +239,12 @@ def vectors_of(df: DataFrame, key: str, column: str, parts: int) -> tuple[DataFr
     return rows.select("nid", "key"), rows.select("nid", "vec").mapInArrow(load, SCHEMA)
 
 
+def _final(part, box):
+    """The graph as search needs it."""
+    s = _join(box["state"])
+    yield part, "state", {k: s[k] for k in ("nid", "vec", "ids", "sims")}
+
+
 def build(loads: DataFrame, parts: int, *, k: int = 60, reverse: int = 30, rounds: int = 12, stop: float = 0.02) -> DataFrame:
     """Messages "state" with the neighbour lists of each part: ``k`` neighbours, after two exact passes within hashed blocks and
     descent rounds until fewer than ``stop`` of the entries are new."""
@@ -249,80 +255,109 @@ def build(loads: DataFrame, parts: int, *, k: int = 60, reverse: int = 30, round
         news = [pickle.loads(r.blob) for r in graph.filter("kind = 'changed'").select("blob").collect()]
         if sum(c for c, _ in news) < stop * max(1, sum(n for _, n in news)):
             break
-    return graph.filter("kind = 'state'")
+    return _settle(superstep(graph.filter("kind = 'state'"), parts, _final))
+
+
+# Search. A beam is a part's queries with, for each, its best nodes so far and which of them are still to be expanded.
+
+
+def _beam(q: dict, ef: int, own: np.ndarray, other: np.ndarray, sim: np.ndarray, open_: np.ndarray) -> None:
+    """Merges (query's place, node, similarity, to be expanded) into the beam."""
+    held = q["ids"].ravel() >= 0
+    slots = np.repeat(np.arange(len(q["nid"])), ef)[held]
+    own, other, sim, rank, open_ = _top(np.concatenate([slots, own]), np.concatenate([q["ids"].ravel()[held], other]), np.concatenate([q["sims"].ravel()[held], sim]), ef, np.concatenate([q["open"].ravel()[held], open_]))
+    q["ids"][:], q["sims"][:], q["open"][:] = -1, _WORST, False
+    q["ids"][own, rank], q["sims"][own, rank], q["open"][own, rank] = other, sim, open_
+
 
+def _next(part: int, parts: int, q: dict, at_once: int):
+    """The beam, and the best nodes in it that are still to be expanded."""
+    take = q["open"] & (np.cumsum(q["open"], axis=1) <= at_once)
+    q["open"] &= ~take
+    ask, slot = np.nonzero(take)
+    node = q["ids"][ask, slot]
+    yield part, "beam", q
+    yield part, "asked", len(ask)
+    for p, (a, b) in _split(_hash(node, parts), q["nid"][ask], node):
+        yield p, "expand", (part, a, b)
 
-# Search. A beam is a part's queries with, for each, its best nodes so far and which of them were expanded.
 
+def _start(parts: int, ef: int, seeds: np.ndarray | None):
+    """Without seeds the queries are the nodes, each of which starts from its own list; with seeds, from those, unscored yet."""
 
-def _expand(parts: int, ef: int, at_once: int, start: bool, seeds: np.ndarray | None):
     def step(part, box):
-        if start:
-            q = _join(box["load"])
-            n = len(q["nid"])
-            q |= {"ids": np.full((n, ef), -1, np.int64), "sims": np.full((n, ef), _WORST, np.float32), "open": np.zeros((n, ef), bool), "seen": np.full(n, None, object)}
-            ask = np.repeat(np.arange(n), 1 if seeds is None else len(seeds))
-            node = q["nid"].copy() if seeds is None else np.tile(seeds, n)
-        else:
-            if not box["beam"]:
-                return
-            q = box["beam"][0]
-            n = len(q["nid"])
-            found = [blobs.unpack(b) for b in box["answers"]]
-            if found:
-                i, c, x = (np.concatenate(y) for y in zip(*found))
-                i = np.searchsorted(q["nid"], i)
-                ok = q["ids"].ravel() >= 0
-                own, other, sim, rank, open_ = _top(np.concatenate([np.repeat(np.arange(n), ef)[ok], i]), np.concatenate([q["ids"].ravel()[ok], c]), np.concatenate([q["sims"].ravel()[ok], x.view(np.float32)]), ef, np.concatenate([q["open"].ravel()[ok], np.ones(len(i), bool)]))
-                q["ids"][:], q["sims"][:], q["open"][:] = -1, _WORST, False
-                q["ids"][own, rank], q["sims"][own, rank], q["open"][own, rank] = other, sim, open_
-            take = q["open"] & (np.cumsum(q["open"], axis=1) <= at_once)
-            q["open"] &= ~take
-            ask, slot = np.nonzero(take)
-            node = q["ids"][ask, slot]
+        if not box["load"]:
+            return
+        q = _join(box["load"])
+        n = len(q["nid"])
+        q |= {"ids": np.full((n, ef), -1, np.int64), "sims": np.full((n, ef), _WORST, np.float32), "open": np.zeros((n, ef), bool)}
+        if seeds is None:
+            s = _join(box["state"])
+            best = s["ids"][:, :ef]
+            ok = best.ravel() >= 0
+            yield part, "lists", blobs.pack(np.append(np.repeat(s["nid"], best.shape[1])[ok], s["nid"]), np.append(best.ravel()[ok], s["nid"]))
+            yield part, "beam", q
+            yield part, "asked", n
+            return
         yield part, "beam", q
-        yield part, "asked", len(ask)
-        for p, (a, b) in _split(_hash(node, parts), q["nid"][ask], node):
-            yield p, "expand", (part, a, b)
+        yield part, "asked", n * len(seeds)
+        for p, (node,) in _split(_hash(seeds, parts), seeds):
+            yield p, "expand", (part, np.repeat(q["nid"], len(node)), np.tile(node, n))
 
     return step
 
 
-def _neighbours(part, box):
-    """The lists of expanded nodes, and the nodes themselves, to the queries that asked."""
-    if box["state"]:
-        s = _join(box["state"])
-        for home, query, node in box["expand"]:
-            at = np.minimum(np.searchsorted(s["nid"], node), len(s["nid"]) - 1)
-            lists = np.concatenate([s["nid"][at][:, None], s["ids"][at]], axis=1)
-            owner, flat = np.repeat(query, lists.shape[1]), lists.ravel()
-            yield home, "lists", blobs.pack(owner[flat >= 0], flat[flat >= 0])
-    if box["beam"]:
-        yield part, "beam", box["beam"][0]
+def _expand(parts: int, ef: int, at_once: int):
+    def step(part, box):
+        if not box["beam"]:
+            return
+        q = box["beam"][0]
+        found = [blobs.unpack(b) for b in box["answers"]]
+        if found:
+            i, c, x = (np.concatenate(y) for y in zip(*found))
+            _beam(q, ef, np.searchsorted(q["nid"], i), c, x.view(np.float32), np.ones(len(i), bool))
+        yield from _next(part, parts, q, at_once)
+
+    return step
+
+
+def _neighbours(degree: int):
+    """The best of the lists of expanded nodes, and the nodes themselves, to the queries that asked."""
+
+    def step(part, box):
+        if box["state"]:
+            s = _join(box["state"])
+            for home, query, node in box["expand"]:
+                at = np.minimum(np.searchsorted(s["nid"], node), len(s["nid"]) - 1)
+                lists = np.concatenate([s["nid"][at][:, None], s["ids"][at, :degree]], axis=1)
+                owner, flat = np.repeat(query, lists.shape[1]), lists.ravel()
+                yield home, "lists", blobs.pack(owner[flat >= 0], flat[flat >= 0])
+        for kind in ("beam", "lists"):
+            for payload in box[kind]:
+                yield part, kind, payload
+
+    return step
 
 
 def _ask(parts: int):
+    """Which of the nodes that came aren't in the beam, to where their vectors are."""
+
     def step(part, box):
         if not box["beam"]:
             return
         q = box["beam"][0]
         found = [blobs.unpack(b) for b in box["lists"]]
         if found:
+            n, ef = q["ids"].shape
             i, c = (np.concatenate(y) for y in zip(*found))
             i = np.searchsorted(q["nid"], i)
-            order = np.lexsort((c, i))
-            i, c = i[order], c[order]
-            once = np.append(True, (i[1:] != i[:-1]) | (c[1:] != c[:-1]))
-            i, c = i[once], c[once]
-            edges, news = np.searchsorted(i, np.arange(len(q["nid"]) + 1)), np.ones(len(i), bool)
-            for r in np.flatnonzero(np.diff(edges)):
-                own = c[edges[r] : edges[r + 1]]
-                if q["seen"][r] is not None:
-                    news[edges[r] : edges[r + 1]] = ~np.isin(own, q["seen"][r], assume_unique=True)
-                    own = np.union1d(q["seen"][r], own)
-                q["seen"][r] = own
-            i, c = i[news], c[news]
-            for p, (a, b) in _split(_hash(c, parts), i, c):
+            held = q["ids"].ravel() >= 0
+            fresh_ = np.append(np.zeros(held.sum(), bool), np.ones(len(i), bool))
+            i, c = np.append(np.repeat(np.arange(n), ef)[held], i), np.append(q["ids"].ravel()[held], c)
+            order = np.lexsort((fresh_, c, i))
+            i, c, fresh_ = i[order], c[order], fresh_[order]
+            once = np.append(True, (i[1:] != i[:-1]) | (c[1:] != c[:-1])) & fresh_
+            for p, (a, b) in _split(_hash(c[once], parts), i[once], c[once]):
                 rows, local = np.unique(a, return_inverse=True)
                 yield p, "ask", (part, q["nid"][rows], q["vec"][rows], q["sims"][rows].min(axis=1), blobs.pack(local.astype(np.int32), b))
         yield part, "beam", q
@@ -345,15 +380,15 @@ def _answer(part, box):
         yield part, "beam", box["beam"][0]
 
 
-def search(graph: DataFrame, loads: DataFrame, parts: int, *, ef: int = 24, at_once: int = 8, rounds: int = 8, seeds: np.ndarray | None = None) -> DataFrame:
+def search(graph: DataFrame, loads: DataFrame, parts: int, *, ef: int = 24, at_once: int = 6, degree: int = 20, rounds: int = 8, seeds: np.ndarray | None = None) -> DataFrame:
     """(query nid, node nid, similarity): the best ``ef`` nodes of each query, greedily: the ``at_once`` best unexpanded nodes
-    of the beam are expanded in each round until none is left. A query that is a node starts at itself; others at ``seeds``."""
-    beams = superstep(loads, parts, _expand(parts, ef, at_once, True, seeds))
+    of the beam are expanded in each round, by the ``degree`` nearest of their lists, until none is left. Without ``seeds`` the queries
+    are the graph's own nodes, and start from their lists; others start at the seeds. A query that is a node finds itself, too."""
+    beams = superstep(loads.unionByName(graph) if seeds is None else loads, parts, _start(parts, ef, seeds))
     for _ in range(rounds):
-        lists = superstep(beams.filter("kind in ('beam', 'expand')").unionByName(graph), parts, _neighbours)
-        asked = superstep(lists, parts, _ask(parts))
-        answers = superstep(asked.unionByName(graph), parts, _answer)
-        beams = _settle(superstep(answers, parts, _expand(parts, ef, at_once, False, None)))
+        lists = superstep(beams.filter("kind in ('beam', 'expand', 'lists')").unionByName(graph), parts, _neighbours(degree))
+        answers = superstep(superstep(lists, parts, _ask(parts)).unionByName(graph), parts, _answer)
+        beams = _settle(superstep(answers, parts, _expand(parts, ef, at_once)))
         if not sum(pickle.loads(r.blob) for r in beams.filter("kind = 'asked'").select("blob").collect()):
             break
 
@@ -373,7 +408,8 @@ def neighbours(df: DataFrame, *, key: str = "vec_id", column: str = "embedding",
     Every row with a usable vector is a node and a query (see ``vectors_of``). Rows that repeat are rows of their own, and neighbours of
     one another; null keys are kept. Similarities that tie are ranked by the neighbour's key (null first). Fewer rows than
     ``most`` + 1 give fewer neighbours; an empty table none. Only the two columns are read."""
-    parts = parallelism(df.sparkSession)
+    # A part has to hold enough nodes for its block to connect them.
+    parts = int(min(parallelism(df.sparkSession), 1 + df.count() // 1000))
     names, loads = vectors_of(df, key, column, parts)
     names, loads = cut(names), cut(loads)
     graph = build(loads, parts, k=k, reverse=reverse)
