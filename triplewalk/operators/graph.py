@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ntriples import OWL_THING, RDF_TYPE, is_literal
-from ..lineage import number
+from ..lineage import cut, number
 
 
 class Graph(NamedTuple):
@@ -38,10 +38,11 @@ def node_ids(triples: DataFrame) -> DataFrame:
 
 
 def encode(triples: DataFrame) -> Graph:
+    """Nodes and edges, both cut: everything that follows reads them several times."""
     nodes = node_ids(triples)
     subjects, objects = (nodes.select(F.col("id").alias(i), F.col("label").alias(t)) for i, t in (("src", "s"), ("dst", "o")))
     edges = dedup(triples).join(subjects, "s").join(objects, "o").select("src", F.col("ord").alias("eord"), "p", "dst")
-    return Graph(nodes, edges)
+    return Graph(nodes, cut(edges))
 
 
 def predicate_ids(edges: DataFrame, n_nodes: int) -> DataFrame:

@@ -116,7 +116,7 @@ def push(sources: DataFrame, weighted: DataFrame, alpha: float, eps: float, pred
     the predicate's id, the share of what crossed its edges that stayed at their targets. Entries of value 0 are kept."""
     check(alpha, eps)
     starts = sources.select("src").distinct()
-    edges = weighted.select("src", "p", "dst", "weight")
+    edges = cut(weighted.select("src", "p", "dst", "weight"))
     small = edges.limit(kernel_edges + 1).count() <= kernel_edges
     if not small:
         return _relational(starts, edges, preds, alpha, eps)
