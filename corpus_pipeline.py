@@ -6,31 +6,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from triplewalk.llm import decontaminate, language_id, mixing, secrets, simhash_dedup
+from triplewalk.llm.cluster import modest_batches
 from triplewalk.llm.queries import MIX_SHARE, MIX_WEIGHTS
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose language no model accepts go, null and empty texts among them; ``lang`` stays as it was given."""
+    modest_batches(spark)
     return language_id.drop_rejected(docs, language_id.fit(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
+    modest_batches(spark)
     return simhash_dedup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap a benchmark item go."""
+    modest_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced in the text, and n_chars follows; all documents stay."""
+    modest_batches(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that fill the budgets of their sources stay."""
+    modest_batches(spark)
     return mixing.mix(docs, weights=MIX_WEIGHTS, budget_share=MIX_SHARE)
 
 

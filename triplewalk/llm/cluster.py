@@ -56,5 +56,14 @@ def is_empty(df: DataFrame) -> bool:
     return not df.take(1)
 
 
+def modest_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Lowers the session's rows of an Arrow batch to ``rows`` at most: whole documents, 10,000 of them by default, would weigh on
+    every Python worker, and on the buffers of its executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
