@@ -398,6 +398,21 @@ def test_near_duplicates_awkward(awkward, empty):
         simhash_dedup.near_duplicates(empty, words=9)
 
 
+@pytest.mark.parametrize(("table_rows", "copies"), [(20, 4), (200, 14), (1500, 120)])
+def test_a_group_of_copies_does_not_stop_its_own_words(spark, table_rows, copies):
+    rng = random.Random(table_rows)
+    base = words(rng, 300, 30_000)
+    texts = []
+    for _ in range(copies):
+        copy = list(base)
+        for at in rng.sample(range(300), 10):
+            copy[at] = words(rng, 1, 10**9)[0]
+        texts.append(copy)
+    texts += [words(rng, 120, 30_000) for _ in range(table_rows - copies)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    assert groups(simhash_dedup.near_duplicates(docs).collect()) == [list(range(copies))]
+
+
 # 7 Language model
 
 
