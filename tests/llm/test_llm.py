@@ -471,6 +471,24 @@ def test_scores_awkward(spark, awkward):
     assert suffix_lm.score(q, awkward).count() == 1
 
 
+def test_scores_of_each_document_under_the_others(spark, empty):
+    rng = random.Random(10)
+    texts = [[rng.choice("abcdefg") for _ in range(rng.randrange(40))] for _ in range(30)]
+    texts += [texts[3], texts[4][:20] + ["q"] + texts[4][20:], ["x"], [], ["a"] * 25, ["a"] * 20, None]
+    docs = spark.createDataFrame([(k, None if t is None else " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_lm.score_each(docs).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for k, t in enumerate(texts):
+        n, p, mean, longest = brute_score(t or [], [x for j, x in enumerate(texts) if j != k and x is not None])
+        r = got[k]
+        assert (r.n_tokens, r.longest_context) == (n, longest) and r.log_prob == pytest.approx(p) and r.mean_context == pytest.approx(mean)
+    assert suffix_lm.score_each(empty).count() == 0
+
+
+def test_op7_scores_every_document(spark):
+    assert queries.op7_lm_scoring(spark, DATA).count() == table(spark, "documents").count()
+
+
 # 8 Mixing
 
 

@@ -98,10 +98,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scores of every benchmark item under the unbounded n-grams of all documents."""
-    from .suffix_lm import score
+    """Scores of every document under the unbounded n-grams of all other documents."""
+    from .suffix_lm import score_each
 
-    return score(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return score_each(table(spark, sf_dir, "documents"))
 
 
 #: Share of each source in the mix, relative to others; those not named have 1.
