@@ -11,7 +11,7 @@ SCHEMA = "part int, blob binary"
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of one length; 64- or 32-bit integers, byte planes apart so that zeros and near-equal bytes compress."""
+    """Columns of one length; 64-, 32- or 16-bit integers, byte planes apart so that zeros and near-equal bytes compress."""
     out = [len(columns[0]).to_bytes(8, "little")]
     for c in columns:
         c = np.ascontiguousarray(c)
@@ -25,7 +25,7 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     while at < len(data):
         width = data[at]
         planes = np.frombuffer(data, np.uint8, n * width, at + 1).reshape(width, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view({4: np.int32, 8: np.int64}[width]))
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view({2: np.int16, 4: np.int32, 8: np.int64}[width]))
         at += 1 + n * width
     return out
 
