@@ -39,6 +39,32 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _tokens(table: str, key: str) -> str:
+    return f"select distinct {key}, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') as t from {table} where text is not null"
+
+
+def op3_sql() -> str:
+    from .decontaminate import MASKS, SPAN
+
+    masks = ", ".join(f"({k}, [{', '.join(str(j) for j, bit in enumerate(m) if bit == '1')}])" for k, m in enumerate(MASKS))
+    seeds = f"select {{key}}, m, p, list_transform(off, lambda x: t[p + 1 + x]) as seed from (select *, unnest(range(greatest(0, len(t) - {SPAN - 1}))) as p from {{table}}), masks"
+    return f"""
+with d as ({_tokens("documents", "doc_id")}), i as ({_tokens("benchmark", "item_id")}), masks(m, off) as (values {masks}),
+dw as ({seeds.format(key="doc_id", table="d")}), iw as ({seeds.format(key="item_id", table="i")}),
+short as (select doc_id, item_id, p as g from (select *, unnest(range(len(t))) as p from d where len(t) > 0) w join i on w.t[p + 1 : p + len(i.t)] = i.t where len(i.t) between 6 and {SPAN - 1}),
+diagonals as (select distinct doc_id, item_id, dw.p - iw.p as g from dw join iw using (m, seed) union select * from short),
+cells as (select doc_id, item_id, g, a, d.t[a + g + 1] = i.t[a + 1] as eq, len(i.t) as size from (select doc_id, item_id, g, unnest(range(greatest(0, -g), least(len(i.t), len(d.t) - g))) as a from diagonals join d using (doc_id) join i using (item_id)) join d using (doc_id) join i using (item_id)),
+sums as (select *, sum(case when eq then 1 else -2 end) over w as total, sum(eq::int) over w as matches, min(a) over (partition by doc_id, item_id, g) as since from cells window w as (partition by doc_id, item_id, g order by a)),
+gains as (select *, least(0, min(total) over (partition by doc_id, item_id, g order by a)) as least from sums),
+ends as (select doc_id, item_id, g, since, size, max(total - least) as gain, arg_min(struct_pack(a, least, matches), (-(total - least), a)) as e from gains group by all),
+lows as (select ends.*, s.a as low, s.matches as had from ends left join sums s on s.doc_id = ends.doc_id and s.item_id = ends.item_id and s.g = ends.g and s.total = ends.e.least and s.a <= ends.e.a),
+firsts as (select doc_id, item_id, g, since, size, gain, e, min(low) as low, min_by(had, low) as had from lows group by all),
+starts as (select *, case when e.least = 0 then since else low + 1 end as b, case when e.least = 0 then 0 else had end as before from firsts)
+select doc_id, item_id, (b + g)::bigint as start, b::bigint as item_start, (e.a + 1 - b)::bigint as length, (e.matches - before)::bigint as matched
+from starts where gain > 0 and e.matches - before >= least(12, greatest(1, ceil(0.8 * size)))
+"""
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every secret of every document, by kind, place and digest."""
     from .secrets import find_secrets
@@ -137,4 +163,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": OP5_SQL}
+    return {"op3_decontaminate": op3_sql(), "op5_url_filter": OP5_SQL}
