@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .cluster import cut, fresh
+from .cluster import cut, fresh, is_empty
 
 
 _SPACE = np.zeros(256, bool)
@@ -127,17 +127,42 @@ def budgets(available: dict, weights: dict, default_weight: float, total: int) -
     return out
 
 
-def mix(docs: DataFrame, *, weights: dict | None = None, default_weight: float = 1.0, budget_tokens: int | None = None, budget_share: float = 0.5, seed: int = 7, count=word_count, length: str | None = None) -> DataFrame:
+def limits(keys: DataFrame, plans: DataFrame) -> DataFrame:
+    """limits(source, length, cut, ties) of ``keys(source, length, hash)`` and ``plans(source, length, take, count)``: taken are the
+    rows of a lower hash than ``cut`` and ``ties`` of those of that hash (null: all of them).
+
+    Hashes are counted in 4096 bins, and only those of the bin in which a plan ends are ranked, so no task sorts a whole length."""
+    whole = plans.filter("take >= count").select("source", "length", F.lit((1 << 63) - 1).cast("bigint").alias("cut"), F.lit(None).cast("bigint").alias("ties"))
+    some = plans.filter("take < count").select(F.col("source").alias("s"), F.col("length").alias("l"), "take")
+    same = lambda a, b: F.col("source").eqNullSafe(F.col(a)) & (F.col("length") == F.col(b))
+
+    def end(counted: DataFrame, by: str, need: str) -> DataFrame:
+        """The ``by`` at which the running count reaches ``need``, and how many of it are needed."""
+        so_far = F.sum("n").over(Window.partitionBy("source", "length").orderBy(by))
+        return counted.withColumn("_to", so_far).filter((F.col("_to") >= F.col(need)) & (F.col("_to") - F.col("n") < F.col(need))).withColumn("need", F.col(need) - F.col("_to") + F.col("n")).drop("_to")
+
+    binned = keys.withColumn("bin", F.shiftright("hash", 52))
+    bins = end(binned.groupBy("source", "length", "bin").agg(F.count("*").alias("n")).join(some, same("s", "l")), "bin", "take")
+    last = bins.select(F.col("source").alias("s"), F.col("length").alias("l"), F.col("bin").alias("b"), F.col("need").alias("most"))
+    ends = end(binned.join(last, same("s", "l") & (F.col("bin") == F.col("b"))).groupBy("source", "length", "hash", "most").agg(F.count("*").alias("n")), "hash", "most")
+    return whole.unionByName(ends.select("source", "length", F.col("hash").alias("cut"), F.when(F.col("need") < F.col("n"), F.col("need")).alias("ties")))
+
+
+def mix(docs: DataFrame, *, weights: dict | None = None, default_weight: float = 1.0, budget_tokens: int | None = None, budget_share: float = 0.5, seed: int = 7, count=word_count, length: str | None = None, most_broadcast: int = 2_000_000) -> DataFrame:
     """``docs``, all columns, only the selected rows (and the token count as column ``length``, if that is named).
 
     The budget is ``budget_tokens``, or ``budget_share`` of all tokens. ``weights`` maps a source to its weight, None is the
-    null source; others have ``default_weight``. Rows of null, empty or token-less texts cost nothing and aren't selected. A
-    repeated row is a further document. Rows whose seeded hash of doc_id and text ties are taken in any order, being alike.
-    An empty table stays empty.
+    null source; others have ``default_weight``. Rows of null, empty or token-less texts cost nothing and aren't selected; a long text is
+    counted whole. A repeated row is a further document. Rows whose seeded hash of doc_id and text ties are taken in any order, being
+    alike. An empty table stays empty.
+
+    Only (source, length, hash) is shuffled; the limits, a row for each source and length, are broadcast up to ``most_broadcast`` rows and
+    joined by a shuffle beyond. Texts are counted twice, once for the counts and once as they are selected.
     """
-    n, rank, take, at = (fresh(docs, c) for c in ("_length", "_rank", "_take", "_source"))
-    counted = docs.withColumn(n, count(docs["text"])).withColumn(at, docs["source"].cast("string")).filter(F.col(n) > 0)
-    counts = cut(counted.groupBy(F.col(at).alias("source"), F.col(n).alias("length")).agg(F.count("*").alias("count")))
+    n, h, at = (fresh(docs, c) for c in ("_length", "_hash", "_source"))
+    counted = docs.withColumn(n, count(docs["text"])).withColumn(at, docs["source"].cast("string")).withColumn(h, F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])).filter(F.col(n) > 0)
+    keys = cut(counted.select(F.col(at).alias("source"), F.col(n).alias("length"), F.col(h).alias("hash")))
+    counts = cut(keys.groupBy("source", "length").agg(F.count("*").alias("count")))
     sums = {r[0]: int(r[1]) for r in counts.groupBy("source").agg(F.sum(F.col("length") * F.col("count"))).collect()}
     share = budgets(sums, weights or {}, default_weight, int(sum(sums.values()) * budget_share) if budget_tokens is None else budget_tokens)
 
@@ -145,9 +170,19 @@ def mix(docs: DataFrame, *, weights: dict | None = None, default_weight: float =
         group = group.sort_values("length")
         source = group["source"].iloc[0]
         chosen = fit(group["length"].to_numpy(), group["count"].to_numpy(), share[None if pd.isna(source) else source], seed)
-        return group.assign(take=chosen)[["source", "length", "take"]]
-
-    plans = counts.groupBy("source").applyInPandas(plan, "source string, length bigint, take bigint").filter("take > 0").select(F.col("source").alias(at + "p"), F.col("length").alias(n + "p"), F.col("take").alias(take))
-    by = Window.partitionBy(at, n).orderBy(F.xxhash64(F.lit(seed), "doc_id", "text"), "doc_id")
-    ranked = counted.withColumn(rank, F.row_number().over(by)).join(plans, F.col(at).eqNullSafe(F.col(at + "p")) & (F.col(n) == F.col(n + "p")))
-    return ranked.filter(F.col(rank) <= F.col(take)).select(*[F.col(f"`{c}`") for c in docs.columns], *([F.col(n).alias(length)] if length else []))
+        return group.assign(take=chosen)[["source", "length", "take", "count"]]
+
+    plans = cut(counts.groupBy("source").applyInPandas(plan, "source string, length bigint, take bigint, count bigint").filter("take > 0"))
+    found = cut(limits(keys, plans))
+    s, l, c, t = (fresh(docs, x) for x in ("_of", "_long", "_cut", "_ties"))
+    ends = found.select(F.col("source").alias(s), F.col("length").alias(l), F.col("cut").alias(c), F.col("ties").alias(t))
+    if plans.count() <= most_broadcast:
+        ends = F.broadcast(ends)
+    joined = counted.join(ends, F.col(at).eqNullSafe(F.col(s)) & (F.col(n) == F.col(l)))
+    shown = [F.col(f"`{x}`") for x in docs.columns] + ([F.col(n).alias(length)] if length else [])
+    out = joined.filter((F.col(h) < F.col(c)) | ((F.col(h) == F.col(c)) & F.col(t).isNull())).select(*shown)
+    if not is_empty(found.filter("ties is not null")):
+        rank = fresh(docs, "_rank")
+        tied = joined.filter((F.col(h) == F.col(c)) & F.col(t).isNotNull()).withColumn(rank, F.row_number().over(Window.partitionBy(at, n).orderBy(h)))
+        out = out.unionByName(tied.filter(F.col(rank) <= F.col(t)).select(*shown))
+    return out
