@@ -95,7 +95,7 @@ def test_vectors(spark):
     assert {tuple(r) for r in v.add(a, a).collect()} == {(0, 0, 1.0), (0, 1, 0.5), (0, 2, 0.5), (1, 1, 2.0), (2, 0, 0.0)}
     assert {tuple(r) for r in v.normalize(v.remove_focus(a)).collect()} == {(0, 1, 0.5), (0, 2, 0.5)}
     names_ = spark.createDataFrame([(0, "<a>"), (1, "<b>"), (2, "<c>")], "id bigint, label string")
-    assert v.labelled(a, names_).filter("src = 0").first().text == '{"<a>":0.5,"<b>":0.25,"<c>":0.25}'
+    assert v.labelled(a, names_).filter("src = 0").first().text == '[{"label":"<a>","id":0,"val":0.5},{"label":"<b>","id":1,"val":0.25},{"label":"<c>","id":2,"val":0.25}]'
 
 
 def test_record():
@@ -165,3 +165,13 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("triples").collect()} == {("<a>", "<p>", '"x"'), ("<a>", "<p>", "<b>")}
+
+
+def test_matrices_of_records(spark):
+    cooc = spark.createDataFrame([(2, 1, 0.5), (1, 1, 0.25), (2, 1, 0.5), (1, 3, 1.0)], "word1 int, word2 int, val double")
+    row, col, val, shape = crec.coo(cooc)
+    assert shape == (3, 4) and sorted(zip(row.tolist(), col.tolist(), val.tolist())) == [(1, 1, 0.25), (1, 3, 1.0), (2, 1, 0.5), (2, 1, 0.5)]
+    first, rows, values, shape = crec.csc(cooc)
+    assert (first.tolist(), rows.tolist(), values.tolist(), shape) == ([0, 0, 2, 2, 3], [1, 2, 1], [0.25, 1.0, 1.0], (3, 4))
+    assert [tuple(r) for r in crec.columns(cooc).orderBy("slot").collect()] == [(0, 1, 1, 0.25), (1, 2, 1, 1.0), (2, 1, 3, 1.0)]
+    assert crec.csc(cooc.limit(0))[0].tolist() == [0]

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RDF_TYPE = "<http://www.w3.org/1999/02/22-rdf-syntax-ns#type>"
@@ -58,5 +58,15 @@ def parse(line: Column, compat: bool = False) -> Terms:
     return Terms(s, p, o, (s != "") & (p != "") & (o != ""))
 
 
+def with_terms(lines: DataFrame, compat: bool = False) -> DataFrame:
+    """``lines`` with s, p, o and ok of their ``value``. Each term is made once, from columns: as one nested expression they'd outgrow
+    generated code, and filters on them would be pushed below the generator and parse again."""
+    rest = lines.withColumn("_s", subject(F.col("value"))).withColumn("_after_s", after(F.col("value"), F.col("_s")))
+    rest = rest.withColumn("_p", F.regexp_extract("_after_s", _IRI, 0)).withColumn("_after_p", after(F.col("_after_s"), F.col("_p")))
+    rest = rest.withColumn("_o", object_(F.col("_after_p"), compat))
+    terms = F.struct(F.col("_s").alias("s"), F.col("_p").alias("p"), F.col("_o").alias("o"), ((F.col("_s") != "") & (F.col("_p") != "") & (F.col("_o") != "")).alias("ok"))
+    return rest.select(*lines.columns, F.inline(F.array(terms)))
+
+
 def is_literal(o: Column) -> Column:
     return o.startswith('"')

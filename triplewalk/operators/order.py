@@ -4,95 +4,135 @@ from __future__ import annotations
 
 import heapq
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, number
 from .graph import simple
 
 KERNEL_EDGES = 5_000_000
+#: Levels whose results are gathered before they are cut into one.
+GATHERED = 32
 
 
-def levels(nodes: DataFrame, edges: DataFrame, limit: int = 10_000) -> DataFrame:
+class _Gathered:
+    def __init__(self):
+        self.parts: list[DataFrame] = []
+
+    def add(self, part: DataFrame) -> None:
+        self.parts.append(part)
+        if len(self.parts) == GATHERED:
+            self.parts = [cut(self.all())]
+
+    def all(self) -> DataFrame:
+        out = self.parts[0]
+        for p in self.parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+
+def _first(nodes: DataFrame, rest: DataFrame) -> DataFrame:
+    return cut(nodes.select("id").join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+
+
+def _without(rest: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the nodes all of whose out-neighbours are in ``ready``, the edges that don't lead there), cut as one."""
+    marked = cut(rest.join(ready.select(F.col("id").alias("dst"), F.lit(True).alias("gone")), "dst", "left").select("src", "dst", F.col("gone").isNotNull().alias("gone")))
+    return marked.groupBy(F.col("src").alias("id")).agg(F.min("gone").alias("all")).filter("all").select("id"), marked.filter("not gone").select("src", "dst")
+
+
+def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level) of the nodes whose walks end: level 0 has no out-neighbour, any other is one above its highest. Nodes that
-    reach a cycle have no level. Each level is an anti-join of what is left."""
-    left, out = cut(nodes.select("id")), None
+    reach a cycle have no level; self loops and parallel edges don't count. Each level is a join of the edges that are left, cut once."""
     rest = cut(simple(edges))
-    for k in range(limit):
-        ready = cut(left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+    ready, out, k = _first(nodes, rest), _Gathered(), 0
+    while True:
+        out.add(ready.withColumn("level", F.lit(k).cast("bigint")))
+        ready, rest = _without(rest, ready)
         if not ready.take(1):
-            break
-        level = ready.withColumn("level", F.lit(k).cast("bigint"))
-        out = level if out is None else out.unionByName(level)
-        left = cut(left.join(ready, "id", "left_anti"))
-        rest = cut(rest.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    return out if out is not None else left.withColumn("level", F.lit(0).cast("bigint")).limit(0)
-
-
-def sequence(ids: list[int], pairs: list[tuple[int, int]]) -> list[int]:
-    """The order of a graph that fits the driver; among nodes that are ready the least id, among the busiest too."""
-    out = {i: 0 for i in ids}
-    into: dict[int, list[int]] = {i: [] for i in ids}
-    targets: dict[int, list[int]] = {i: [] for i in ids}
-    for s, d in pairs:
-        out[s] += 1
-        into[d].append(s)
-        targets[s].append(d)
-    busy = {i: len(into[i]) for i in ids}
-    ready = [i for i in ids if not out[i]]
-    heapq.heapify(ready)
-    heap = [(-busy[i], i) for i in ids]
-    heapq.heapify(heap)
-    done, order = set(), []
-    while len(order) < len(ids):
-        if ready:
-            i = heapq.heappop(ready)
-            if i in done:
-                continue
-        else:
-            n, i = heapq.heappop(heap)
-            if i in done or -n != busy[i]:
-                continue
-        done.add(i)
-        order.append(i)
-        for s in into[i]:
-            out[s] -= 1
-            if not out[s] and s not in done:
-                heapq.heappush(ready, s)
-        for d in targets[i]:
-            if d not in done:
-                busy[d] -= 1
-                heapq.heappush(heap, (-busy[d], d))
-    return order
+            return out.all()
+        k += 1
+
+
+def sequence(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The order of a graph that fits one task; see ``compute_order``. Edges are of the simple graph."""
+    ids = np.unique(ids)
+    s, d = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    n = len(ids)
+    into, out = np.argsort(d, kind="stable"), np.argsort(s, kind="stable")
+    into_at, out_at = (np.searchsorted(x[o], np.arange(n + 1)) for x, o in ((d, into), (s, out)))
+    left, busy, done = np.bincount(s, minlength=n), np.bincount(d, minlength=n), np.zeros(n, bool)
+    heap: list[tuple[int, int]] | None = None
+    order: list[np.ndarray] = []
+    ready = np.flatnonzero(left == 0)
+    taken = 0
+
+    def near(at, edges, nodes):
+        size = at[nodes + 1] - at[nodes]
+        return edges[np.repeat(at[nodes] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+    while taken < n:
+        if not len(ready):
+            if heap is None:
+                heap = [(-int(busy[i]), int(i)) for i in np.flatnonzero(~done)]
+                heapq.heapify(heap)
+            while True:
+                b, i = heapq.heappop(heap)
+                if not done[i] and -b == busy[i]:
+                    break
+            ready = np.array([i])
+        done[ready] = True
+        order.append(ready)
+        taken += len(ready)
+        after = d[near(out_at, out, ready)]
+        np.subtract.at(busy, after, 1)
+        if heap is not None:
+            for i in np.unique(after[~done[after]]).tolist():
+                heapq.heappush(heap, (-int(busy[i]), i))
+        before = s[near(into_at, into, ready)]
+        np.subtract.at(left, before, 1)
+        before = np.unique(before)
+        ready = before[(left[before] == 0) & ~done[before]]
+    return ids[np.concatenate(order)] if order else ids
 
 
 def compute_order(nodes: DataFrame, edges: DataFrame, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """order(pos BIGINT, id BIGINT): a permutation of all nodes; an empty graph has an empty one.
 
-    Up to ``kernel_edges`` edges and nodes, counted first, one task orders the graph; beyond, levels are peeled by joins and, where
-    no node is ready, the node with the most remaining in-edges is taken."""
+    In turns, all nodes whose out-neighbours have gone go, by id; where there is none, the node with the most remaining in-neighbours goes, of
+    several the least id. Self loops and parallel edges don't count.
+
+    Up to ``kernel_edges`` edges and nodes, counted first (16 bytes each), one task orders the graph; beyond, every turn is a join. The order is
+    the same."""
     pairs = simple(edges)
-    spark = nodes.sparkSession
     if pairs.limit(kernel_edges + 1).count() <= kernel_edges and nodes.limit(kernel_edges + 1).count() <= kernel_edges:
-        order = sequence(sorted(r[0] for r in nodes.select("id").collect()), [(r[0], r[1]) for r in pairs.collect()])
-        return spark.createDataFrame(list(enumerate(order)), "pos bigint, id bigint")
-    left, rest, parts, pos = cut(nodes.select("id")), cut(pairs), [], 0
-    while left.take(1):
-        ready = cut(left.join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
+
+        def run(batches):
+            table = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches if b.num_rows]
+            if table:
+                src, dst = (np.concatenate(c) for c in zip(*table))
+                order = sequence(src[dst < 0], src[dst >= 0], dst[dst >= 0])
+                yield pa.record_batch([pa.array(np.arange(len(order))), pa.array(order)], names=["pos", "id"])
+
+        both = nodes.select(F.col("id").alias("src"), F.lit(-1).cast("bigint").alias("dst")).unionByName(pairs)
+        return both.repartition(1).mapInArrow(run, "pos bigint, id bigint")
+    rest, out, pos = cut(pairs), _Gathered(), 0
+    ready = _first(nodes, rest)
+    while True:
         n = ready.count()
         if not n:
             top = rest.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
             ready, n = cut(top), 1
-        from ..lineage import number
-
-        parts.append(number(ready, [F.col("id")], "pos", pos))
+            if not ready.take(1):
+                break
+            rest = rest.join(F.broadcast(ready.select(F.col("id").alias("src"))), "src", "left_anti").select("src", "dst")
+        out.add(number(ready, [F.col("id")], "pos", pos).select("pos", "id"))
         pos += n
-        left = cut(left.join(ready, "id", "left_anti"))
-        rest = cut(rest.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti").join(ready.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("pos", "id")
+        ready, rest = _without(rest, ready)
+        ready = cut(ready)
+    return out.all() if out.parts else nodes.select(F.lit(0).cast("bigint").alias("pos"), "id").limit(0)
 
 
 def is_permutation(order: DataFrame, n: int) -> bool:

@@ -32,7 +32,7 @@ def level_bound(alpha: float, eps: float) -> int:
     return 2 if alpha == 1 else max(0, math.floor(math.log(eps) / math.log(1 - alpha))) + 2
 
 
-def _kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, pid: np.ndarray | None, alpha: float, eps: float, most: int = 4_000_000):
+def _kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, pid: np.ndarray | None, runs: list[tuple[float, float]], most: int = 4_000_000):
     n = int(max(src.max(initial=-1), dst.max(initial=-1))) + 1
     order = np.argsort(src, kind="stable")
     dst, weight, pid = dst[order], weight[order], None if pid is None else pid[order]
@@ -43,7 +43,7 @@ def _kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, pid: np.ndarra
         names, inverse = np.unique(key, return_inverse=True)
         return names, np.bincount(inverse, value, len(names))
 
-    def push(sources: np.ndarray):
+    def push(sources: np.ndarray, alpha: float, eps: float):
         """(index of the source, node or predicate, value)."""
         wide = max(width, int(sources.max(initial=-1)) + 1)
         key, paint = np.arange(len(sources)) * wide + sources, np.ones(len(sources))
@@ -68,56 +68,100 @@ def _kernel(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, pid: np.ndarra
     def run(batches):
         for batch in batches:
             sources = batch.column(0).to_numpy(zero_copy_only=False)
-            # Row size is bounded by about 1 / (alpha * eps), and by the graph.
-            step = int(max(1, min(2048, most // min(width, max(1.0, 1 / (alpha * eps))))))
-            for lo in range(0, len(sources), step):
-                some = sources[lo : lo + step]
-                at, ctx, value = push(some)
-                yield pa.record_batch([pa.array(some[at]), pa.array(ctx), pa.array(value)], names=["src", "ctx", "val"])
+            for alpha, eps in runs:
+                # Row size is bounded by about 1 / (alpha * eps), and by the graph.
+                step = int(max(1, min(2048, most // min(width, max(1.0, 1 / (alpha * eps))))))
+                for lo in range(0, len(sources), step):
+                    some = sources[lo : lo + step]
+                    at, ctx, value = push(some, alpha, eps)
+                    yield pa.record_batch([pa.array(some[at]), pa.array(ctx), pa.array(value), pa.array(np.full(len(at), alpha)), pa.array(np.full(len(at), eps))], names=NAMES)
 
     return run
 
 
-def _broadcast(sources: DataFrame, edges: DataFrame, preds: DataFrame | None, alpha: float, eps: float) -> DataFrame:
+NAMES = ["src", "ctx", "val", "alpha", "eps"]
+
+
+def _broadcast(sources: DataFrame, edges: DataFrame, preds: DataFrame | None, runs: list[tuple[float, float]]) -> DataFrame:
     table = edges.toArrow() if preds is None else edges.join(preds.select(F.col("label").alias("p"), F.col("id").alias("pid")), "p").select("src", "dst", "weight", "pid").toArrow()
     column = lambda c: table[c].to_numpy()
     arrays = sources.sparkSession.sparkContext.broadcast((column("src"), column("dst"), column("weight"), None if preds is None else column("pid")))
 
     def run(batches):
-        yield from _kernel(*arrays.value, alpha, eps)(batches)
+        yield from _kernel(*arrays.value, runs)(batches)
 
-    return sources.mapInArrow(run, "src bigint, ctx bigint, val double")
+    return sources.mapInArrow(run, "src bigint, ctx bigint, val double, alpha double, eps double")
 
 
-def _relational(sources: DataFrame, edges: DataFrame, preds: DataFrame | None, alpha: float, eps: float) -> DataFrame:
-    spark = sources.sparkSession
+def _relational(sources: DataFrame, edges: DataFrame, preds: DataFrame | None, runs: list[tuple[float, float]]) -> DataFrame:
     links = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("weight")).select(F.col("src").alias("node"), "dst", "weight"))
-    frontier, levels = cut(sources.select("src", F.col("src").alias("node"), F.lit(1.0).alias("paint"))), []
-    for _ in range(level_bound(alpha, eps) + 1):
+    each = F.broadcast(sources.sparkSession.createDataFrame(runs, "alpha double, eps double"))
+    frontier, levels = cut(sources.select("src", F.col("src").alias("node"), F.lit(1.0).alias("paint")).crossJoin(each)), []
+    flows = (F.col("paint") >= F.col("eps")) & ~F.isnan("paint")
+    kept = 1 - F.col("alpha")
+    for _ in range(max(level_bound(*r) for r in runs) + 1):
         levels.append(frontier)
-        flow = frontier.filter(F.col("paint") >= eps).join(links, "node").select("src", F.col("dst").alias("node"), ((1 - alpha) * F.col("paint") * F.col("weight")).alias("paint"))
-        frontier = cut(flow.groupBy("src", "node").agg(F.sum("paint").alias("paint")))
+        flow = frontier.filter(flows).join(links, "node").select("src", F.col("dst").alias("node"), (kept * F.col("paint") * F.col("weight")).alias("paint"), "alpha", "eps")
+        frontier = cut(flow.groupBy("src", "node", "alpha", "eps").agg(F.sum("paint").alias("paint")))
         if not frontier.take(1):
             break
     while len(levels) > 1:  # a balanced union
         levels = [a.unionByName(b) if b is not None else a for a, b in zip(levels[::2], [*levels[1::2], None][: len(levels[::2])])]
     painted = levels[0]
-    out = painted.select("src", F.col("node").alias("ctx"), (alpha * F.col("paint")).alias("val"))
+    out = painted.select("src", F.col("node").alias("ctx"), (F.col("alpha") * F.col("paint")).alias("val"), "alpha", "eps")
     if preds is not None:
         by = edges.join(preds.select(F.col("label").alias("p"), F.col("id").alias("pid")), "p").groupBy(F.col("src").alias("node"), "pid").agg(F.sum("weight").alias("weight"))
-        crossed = painted.filter(F.col("paint") >= eps).join(by, "node").select("src", F.col("pid").alias("ctx"), (alpha * (1 - alpha) * F.col("paint") * F.col("weight")).alias("val"))
+        crossed = painted.filter(flows).join(by, "node").select("src", F.col("pid").alias("ctx"), (F.col("alpha") * kept * F.col("paint") * F.col("weight")).alias("val"), "alpha", "eps")
         out = out.unionByName(crossed)
-    del spark
-    return out.groupBy("src", "ctx").agg(F.sum("val").alias("val"))
+    return out.groupBy("src", "ctx", "alpha", "eps").agg(F.sum("val").alias("val")).select(*NAMES)
+
+
+def push_grid(sources: DataFrame, weighted: DataFrame, runs: list[tuple[float, float]], preds: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """(src, ctx, val, alpha, eps): ``push`` for each (alpha, eps) of ``runs``, in one job over edges that are cut, and sent, once."""
+    for r in runs:
+        check(*r)
+    starts = sources.select("src").distinct()
+    edges = cut(weighted.select("src", "p", "dst", "weight"))
+    if edges.limit(kernel_edges + 1).count() > kernel_edges:
+        return _relational(starts, edges, preds, runs)
+    return _broadcast(starts, edges if preds is not None else edges.drop("p"), preds, runs)
 
 
 def push(sources: DataFrame, weighted: DataFrame, alpha: float, eps: float, preds: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """bcv(src, ctx, val) of the distinct ``sources(src)`` over ``weighted(src, p, dst, weight)``; with ``preds(id, label)`` also, under
-    the predicate's id, the share of what crossed its edges that stayed at their targets. Entries of value 0 are kept."""
+    the predicate's id, the share of what crossed its edges that stayed at their targets. Entries of value 0 are kept.
+
+    Paint that is NaN, as it comes from edges whose weights sum to 0, is kept where it arrives and goes no further.
+
+    Up to ``kernel_edges`` edges (24 bytes each, 32 with predicates: 160 MB at most by default) the edges go to all tasks."""
+    return push_grid(sources, weighted, [(alpha, eps)], preds, kernel_edges).select("src", "ctx", "val")
+
+
+def cached(nodes: DataFrame, weighted: DataFrame, alpha: float, eps: float, preds: DataFrame | None = None, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
+    """bcv(src, ctx, val) of all nodes by memoised walks: a node's vector is ``alpha`` for itself and, of each out-neighbour's
+    finished vector, the entries that stay above ``eps * alpha`` when scaled by the paint that flows there; with ``preds`` also what stayed
+    of it, by predicate. Nodes go by level, a join and an aggregation each.
+
+    Nodes that reach a cycle, or have a self loop, are walked by ``push``; others may use those vectors."""
+    from .order import levels
+
     check(alpha, eps)
-    starts = sources.select("src").distinct()
     edges = cut(weighted.select("src", "p", "dst", "weight"))
-    small = edges.limit(kernel_edges + 1).count() <= kernel_edges
-    if not small:
-        return _relational(starts, edges, preds, alpha, eps)
-    return _broadcast(starts, edges if preds is not None else edges.drop("p"), preds, alpha, eps)
+    loops = edges.filter("src = dst").select(F.col("src").alias("id")).distinct()
+    level = cut(levels(nodes, edges).join(loops, "id", "left_anti"))
+    cyclic = nodes.select("id").join(level, "id", "left_anti").select(F.col("id").alias("src"))
+    known = cut(push(cyclic, edges, alpha, eps, preds, kernel_edges))
+    paint = (1 - alpha) * F.col("weight")
+    of = edges.join(level.select(F.col("id").alias("src"), "level"), "src") if eps <= 1 else edges.limit(0).withColumn("level", F.lit(0).cast("bigint"))
+    flow = cut(of.groupBy("level", "src", "dst").agg(F.sum(paint).alias("paint")))
+    last = level.agg(F.max("level")).first()[0]
+    for k in range(-1 if last is None else last + 1):
+        vec = level.filter(F.col("level") == k).select(F.col("id").alias("src"), F.col("id").alias("ctx"), F.lit(float(alpha)).alias("val"))
+        if k:
+            scaled = F.col("val") * F.col("paint")
+            vec = vec.unionByName(flow.filter(F.col("level") == k).select(F.col("src").alias("of"), F.col("dst").alias("src"), "paint").join(known, "src").filter((scaled > eps * alpha) & ~F.isnan(scaled)).select(F.col("of").alias("src"), "ctx", scaled.alias("val")))
+            if preds is not None:
+                crossed = of.filter(F.col("level") == k).join(preds.select(F.col("label").alias("p"), F.col("id").alias("ctx")), "p")
+                vec = vec.unionByName(crossed.select("src", "ctx", (alpha * paint).alias("val")))
+        known = known.unionByName(cut(vec.groupBy("src", "ctx").agg(F.sum("val").alias("val"))))
+    return known

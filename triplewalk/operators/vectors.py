@@ -28,7 +28,13 @@ def normalize(bcv: DataFrame) -> DataFrame:
     return bcv.join(sums, "src").select("src", "ctx", (F.col("val") / F.col("_sum")).alias("val"))
 
 
+def add_above(eps: float, *vectors: DataFrame) -> DataFrame:
+    """As ``add``, only the entries whose sum is above ``eps``."""
+    return add(*vectors).filter((F.col("val") > eps) & ~F.isnan("val"))
+
+
 def labelled(bcv: DataFrame, names: DataFrame) -> DataFrame:
-    """(src, text): each vector as JSON of label and value, for looking at; ``names(id, label)`` may hold predicates too."""
+    """(src, text): each vector as a JSON array of label, id and value, by label, for looking at; ``names(id, label)`` may hold
+    predicates too, and a label twice."""
     pairs = bcv.join(names.select(F.col("id").alias("ctx"), "label"), "ctx")
-    return pairs.groupBy("src").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "val"))))).alias("text"))
+    return pairs.groupBy("src").agg(F.to_json(F.sort_array(F.collect_list(F.struct("label", F.col("ctx").alias("id"), "val")))).alias("text"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -15,9 +13,11 @@ from ..functions.ntriples import OWL_THING, RDF_TYPE
 from ..operators import graph as g
 from ..operators import order as o
 from ..operators import vectors as v
-from ..operators.cooc import for_grid
-from ..operators.ppr import push
-from ..sources import crec, text
+from ..lineage import shared_folder
+from ..operators.cooc import CoOccurrence, for_grid
+from ..operators.ppr import cached, push
+from ..sources import crec, names, text
+from . import runs
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 ALPHA, EPS = 0.7, 1.234e-5
@@ -28,7 +28,7 @@ BLOCKS = {
     "nations": "select cast(2 as bigint) * 1000000000000000 + n_nationkey * 1000000 as ord, '<n/' || cast(n_nationkey as string) || '>' as s, '<inRegion>' as p, '<r/' || cast(n_regionkey as string) || '>' as o from {nation}",
     "parts": "select distinct cast(3 as bigint) * 1000000000000000 + l_partkey * 1000000 + l_suppkey as ord, '<p/' || cast(l_partkey as string) || '>' as s, '<suppliedBy>' as p, '<s/' || cast(l_suppkey as string) || '>' as o from {lineitem}",
     "orders": "select cast(4 as bigint) * 1000000000000000 + o_orderkey * 1000000 as ord, '<o/' || cast(o_orderkey as string) || '>' as s, '<placedBy>' as p, '<c/' || cast(o_custkey as string) || '>' as o from {orders}",
-    "events": "select cast(5 as bigint) * 1000000000000000 + user_id * 1000000 + dense_rank() over (order by event_type) as ord, '<u/' || cast(user_id as string) || '>' as s, '<did>' as p, '<e/' || event_type || '>' as o from (select distinct user_id, event_type from {events}) e",
+    "events": "select cast(5 as bigint) * 1000000000000000 + user_id * 1000000 + rank as ord, '<u/' || cast(user_id as string) || '>' as s, '<did>' as p, '<e/' || e.event_type || '>' as o from (select distinct user_id, event_type from {events}) e join (select event_type, row_number() over (order by event_type) as rank from (select distinct event_type from {events}) k) r on r.event_type = e.event_type",
     "names": "select cast(6 as bigint) * 1000000000000000 + s_suppkey * 1000000 as ord, '<s/' || cast(s_suppkey as string) || '>' as s, '<name>' as p, '\"' || s_name || '\"' as o from {supplier}",
     "things": f"select cast(7 as bigint) * 1000000000000000 + s_suppkey * 1000000 as ord, '<s/' || cast(s_suppkey as string) || '>' as s, '{RDF_TYPE}' as p, '{OWL_THING}' as o from {{supplier}} where s_suppkey % 3 = 0",
     "back": "select cast(8 as bigint) * 1000000000000000 + s_suppkey * 1000000 as ord, '<n/' || cast(s_nationkey as string) || '>' as s, '<hosts>' as p, '<s/' || cast(s_suppkey as string) || '>' as o from {supplier}",
@@ -248,16 +248,84 @@ def bcv_remove_normalize(spark, sf_dir):
     return quantised(v.normalize(v.remove_focus(_two_way(spark, sf_dir))), "val", "q", "src", "ctx")
 
 
-GRID = [{"weigher": n, "alpha": a, "eps": EPS} for n in ("UniformWeigher", "InversePredicateFrequencyWeigher") for a in (0.3, 0.7)]
+GRID = [(a, EPS) for a in (0.3, 0.7)]
+GRID_WEIGHERS = ("UniformWeigher", "InversePredicateFrequencyWeigher")
 
 
 def param_grid(spark, sf_dir):
     graph, _, _, sources = _cyclic(spark, sf_dir, CYCLIC)
-    edges = graph.edges.persist()
-    runs = for_grid(GRID, lambda r: push(sources, w.WEIGHERS[r["weigher"]](edges), r["alpha"], r["eps"]), ["weigher", "alpha"])
+    runs = for_grid(sources, {n: w.WEIGHERS[n](graph.edges) for n in GRID_WEIGHERS}, GRID)
     return quantised(runs, "val", "q", "weigher", "alpha", "src", "ctx")
 
 
+def param_grid_relational(spark, sf_dir):
+    """The same by joins and aggregations alone, all runs in one frontier, and with predicates."""
+    graph, _, preds, sources = _cyclic(spark, sf_dir, CYCLIC)
+    runs = for_grid(sources, {n: w.WEIGHERS[n](graph.edges) for n in GRID_WEIGHERS}, GRID, preds, kernel_edges=0)
+    return quantised(runs, "val", "q", "weigher", "alpha", "src", "ctx")
+
+
+def bca_cached(spark, sf_dir):
+    graph, edges = encoded(spark, sf_dir, DAG)
+    return quantised(cached(graph.nodes, edges, ALPHA, EPS), "val", "q", "src", "ctx")
+
+
+def bca_cached_with_edges(spark, sf_dir):
+    graph, edges, preds, _ = _cyclic(spark, sf_dir, DAG)
+    return quantised(cached(graph.nodes, edges, ALPHA, EPS, preds), "val", "q", "src", "ctx")
+
+
+def bca_with_edges_relational(spark, sf_dir):
+    graph, edges, preds, sources = _cyclic(spark, sf_dir)
+    return quantised(push(sources, edges, ALPHA, EPS, preds, kernel_edges=0), "val", "q", "src", "ctx")
+
+
+def weigh_each_edge(spark, sf_dir):
+    """A scheme of one's own, by an expression over the edge."""
+    graph, _ = encoded(spark, sf_dir, ALL)
+    return quantised(w.for_each_edge(graph.edges, (F.col("src") % 5 + 1) / (F.col("dst") % 3 + 2)), "weight", "q", "src", "p", "dst")
+
+
+def bcv_add_above(spark, sf_dir):
+    graph, edges, preds, sources = _cyclic(spark, sf_dir)
+    return quantised(v.add_above(0.01, push(sources, edges, 0.3, EPS, preds), push(sources, w.uniform(g.reverse(graph.edges)), 0.3, EPS, preds)), "val", "q", "src", "ctx")
+
+
+def bcv_labelled(spark, sf_dir):
+    graph, edges, preds, sources = _cyclic(spark, sf_dir)
+    return v.labelled(quantised(push(sources, edges, ALPHA, EPS, preds), "val", "val", "src", "ctx"), graph.nodes.unionByName(preds))
+
+
+def _computer(spark, sf_dir, weigher=w.uniform, **kw):
+    return CoOccurrence(triples(spark, sf_dir, TYPED), weigher, **kw)
+
+
+def computer_with_edges(spark, sf_dir):
+    return quantised(crec.records(_computer(spark, sf_dir).vectors(ALPHA, EPS)), "val", "q", "word1", "word2")
+
+
+def computer_no_edges_entities(spark, sf_dir):
+    return quantised(crec.records(_computer(spark, sf_dir).vectors(ALPHA, EPS, edges=False, only_entities=True)), "val", "q", "word1", "word2")
+
+
+def computer_no_edges_normalized(spark, sf_dir):
+    return quantised(crec.records(_computer(spark, sf_dir).vectors(ALPHA, EPS, edges=False, normalize=True)), "val", "q", "word1", "word2")
+
+
+def computer_reweighed(spark, sf_dir):
+    """Weighed anew after construction."""
+    return quantised(crec.records(_computer(spark, sf_dir).reweigh(w.WEIGHERS["InversePredicateFrequencyWeigher"]).vectors(ALPHA, EPS, edges=False)), "val", "q", "word1", "word2")
+
+
+def computer_two_way_normalized(spark, sf_dir):
+    return quantised(_computer(spark, sf_dir, backward=w.uniform).two_way(0.3, EPS, normalize=True), "val", "q", "src", "ctx")
+
+
+def computer_backward_only(spark, sf_dir):
+    """The reverse walk alone, as the compat flag has it."""
+    return quantised(_computer(spark, sf_dir, backward=w.uniform).two_way(0.3, EPS, compat_backward_only=True), "val", "q", "src", "ctx")
+
+
 # Order, ranks, records
 
 
@@ -271,14 +339,109 @@ def compute_order(spark, sf_dir):
     return o.compute_order(graph.nodes, graph.edges)
 
 
+def compute_order_relational(spark, sf_dir):
+    graph, _ = encoded(spark, sf_dir, DAG)
+    return o.compute_order(graph.nodes, graph.edges, kernel_edges=0)
+
+
+# Files, in the folder that all executors share
+
+
+def scratch(spark, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def order_file(spark, sf_dir):
+    """An order written and read again, by a computer that checks that it is one of its nodes."""
+    graph, _ = encoded(spark, sf_dir, CYCLIC)
+    path = scratch(spark, "order")
+    text.write_order(o.compute_order(graph.nodes, graph.edges), path)
+    return CoOccurrence(triples(spark, sf_dir, CYCLIC), w.uniform, order=text.read_order(spark, path, graph.nodes.count())).order
+
+
 def crec_roundtrip(spark, sf_dir):
     graph, edges, preds, sources = _cyclic(spark, sf_dir)
-    folder = spark.sparkContext.getCheckpointDir() or tempfile.gettempdir()
-    path = os.path.join(folder.removeprefix("file:"), f"crec-{uuid.uuid4().hex}")
+    path = scratch(spark, "crec")
     crec.write_cooc(crec.records(push(sources, edges, ALPHA, EPS, preds)), path)
     return quantised(crec.read_cooc(spark, path), "val", "q", "word1", "word2")
 
 
+def crec_columns(spark, sf_dir):
+    """The records of a file, each written twice, as a matrix by columns."""
+    graph, edges, preds, sources = _cyclic(spark, sf_dir)
+    path = scratch(spark, "crec")
+    rows = crec.records(push(sources, edges, ALPHA, EPS, preds))
+    crec.write_cooc(rows.unionByName(rows), path)
+    return quantised(crec.columns(crec.read_cooc(spark, path)), "val", "q", "slot", "word1", "word2")
+
+
+def written_triples(spark, sf_dir, blocks) -> str:
+    """A file of N-Triples lines, in order, with comments and blank lines."""
+    path = scratch(spark, "graph") + ".nt"
+    noise = spark.createDataFrame([("# a comment",), ("   ",)], "value string")
+    lines_of(triples(spark, sf_dir, blocks)).orderBy("ord").coalesce(1).select("value").unionByName(noise).coalesce(1).write.text(path)
+    return path
+
+
+def triples_file(spark, sf_dir):
+    return text.read_ntriples(spark, written_triples(spark, sf_dir, ALL)).select("s", "p", "o")
+
+
+def triples_file_no_literals(spark, sf_dir):
+    return text.read_ntriples_ignore_literals(spark, written_triples(spark, sf_dir, ALL)).select("s", "p", "o")
+
+
+def vocab_file(spark, sf_dir):
+    path = scratch(spark, "vocab")
+    text.write_vocabulary(_computer(spark, sf_dir).vocabulary(edges=True), path)
+    return text.read_vocabulary(spark, path)
+
+
+def rank_file(spark, sf_dir):
+    path = scratch(spark, "ranks")
+    sql(spark, sf_dir, RANK_LINES).orderBy("ord").coalesce(1).select("value").write.text(path)
+    return text.read_ranks(spark, path)
+
+
+def file_to_matrix(spark, sf_dir):
+    """From a file of triples to records on disk and back, by the default run; the files' names carry the parameters."""
+    path, out = written_triples(spark, sf_dir, TYPED), scratch(spark, "out")
+    folder, _, name = path.rpartition("/")
+    written = runs.parametrized_run(spark, folder, runs.default_run(name), out)
+    return _named(spark, [x for x in written if x.endswith(".bin")], name.replace(".", "_"), out)
+
+
+def experiment_files(spark, sf_dir):
+    """The sweep of ten runs."""
+    path, out = written_triples(spark, sf_dir, CYCLIC), scratch(spark, "out")
+    folder, _, name = path.rpartition("/")
+    written = runs.parametrized_run(spark, folder, runs.experiments(name), out)
+    return _named(spark, [x for x in written if x.endswith(".bin")], name.replace(".", "_"), out)
+
+
+def two_way_files(spark, sf_dir):
+    path, out = written_triples(spark, sf_dir, TYPED), scratch(spark, "out")
+    folder, _, name = path.rpartition("/")
+    written = runs.parametrized_two_way_run(spark, folder, runs.two_way_run(name), out)
+    return _named(spark, [x for x in written if x.endswith(".bin")], name.replace(".", "-"), out)
+
+
+def _named(spark, paths: list[str], graph: str, out: str) -> DataFrame:
+    """(name, word1, word2, q) of files of records, the graph's own name left out of theirs."""
+    found = None
+    for path in paths:
+        part = quantised(crec.read_cooc(spark, path).withColumn("name", F.lit(path.removeprefix(out).replace(graph, "g"))), "val", "q", "name", "word1", "word2")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def run_names(spark, sf_dir):
+    """The file of every run of a grid."""
+    p = runs.Parameters([("a/b.nt", True, True)], [(n, w.WEIGHERS[n]) for n in GRID_WEIGHERS], [0.7, 0.1], [1e-5], [False, True], [True, False])
+    rows = [(names.matrix_name("out", "a/b.nt", False, r["weigher"][0], r["alpha"], r["eps"], r["only_entities"], r["include_edges"]),) for r in p.runs()]
+    return spark.createDataFrame(rows + [(names.vocabulary_name("out/", "a/b.nt", e),) for e in p.include_edges], "name string")
+
+
 RANK_LINES = "select cast(s_suppkey as bigint) * 4 + k as ord, case k when 0 then 's/' || cast(s_suppkey as string) || chr(9) || '7.5' when 1 then 's/' || cast(s_suppkey as string) || chr(9) || cast(s_suppkey as string) || '.25' || chr(9) || 'more' when 2 then '# note' else '  ' end as value from {supplier} cross join (select explode(sequence(0, 3)) as k) q"
 
 
@@ -288,7 +451,9 @@ def tsv_rank_map(spark, sf_dir):
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [triples_parse, triples_parse_quirks, literal_filter, triple_dedup, node_ids, predicate_ids, edge_order, in_out_degree, simple_graph, reverse_graph, is_entity, vocab_no_edges, vocab_with_edges]
-    walks = [bca_dag, bca_cyclic, bca_cyclic_relational, bca_with_edges, cooc_only_entities, cooc_normalized, bcv_add_fwd_rev, bcv_remove_normalize, param_grid, topo_levels, compute_order, crec_roundtrip, tsv_rank_map]
+    walks = [bca_dag, bca_cyclic, bca_cyclic_relational, bca_with_edges, bca_with_edges_relational, bca_cached, bca_cached_with_edges, weigh_each_edge, cooc_only_entities, cooc_normalized, bcv_add_fwd_rev, bcv_remove_normalize, bcv_add_above, bcv_labelled, param_grid, param_grid_relational, topo_levels, compute_order, compute_order_relational]
+    walks += [computer_with_edges, computer_no_edges_entities, computer_no_edges_normalized, computer_reweighed, computer_two_way_normalized, computer_backward_only]
+    walks += [order_file, crec_roundtrip, crec_columns, triples_file, triples_file_no_literals, vocab_file, rank_file, tsv_rank_map, file_to_matrix, experiment_files, two_way_files, run_names]
     found = {f.__name__: f for f in plain}
     found |= {name: weigh(lambda s, d, graph, n=n: w.WEIGHERS[n]) for name, (n, _) in SCHEMES.items()}
     found |= {"weigh_push_down": weigh(lambda s, d, graph: w.push_down(dense(s, d, graph))), "weigh_push_down_map": weigh(weigh_push_down_map), "weigh_split_down": weigh(lambda s, d, graph: w.split_down(dense(s, d, graph)))}
@@ -368,10 +533,64 @@ def oracle_sql() -> dict[str, str]:
     both = (u, "back as (select dst as src, p, src as dst from edges)", _weighted("1.0", "wb", "back"), _walk("f", "we", 0.3), _walk("h", "wb", 0.3), _vector("v1", "f", "we", 0.3, True), _vector("v2", "h", "wb", 0.3, True), "s as (select src, ctx, sum(val) as val from (select * from v1 union all select * from v2) group by 1, 2)")
     out["bcv_add_fwd_rev"] = _base(TYPED, *both, "b as (select * from s)", recursive=True) + result
     out["bcv_remove_normalize"] = _base(TYPED, *both, "b as (select src, ctx, val / sum(val) over (partition by src) as val from s where src <> ctx)", recursive=True) + result
-    ctes, parts = [u, _weighted(SCHEMES["weigh_inv_pred_freq"][1], "wi")], []
-    for k, run in enumerate(GRID):
-        edges = "we" if run["weigher"] == "UniformWeigher" else "wi"
-        ctes += [_walk(f"f{k}", edges, run["alpha"]), _vector(f"b{k}", f"f{k}", edges, run["alpha"], False)]
-        parts.append(f"select '{run['weigher']}' as weigher, {run['alpha']!r}::double as alpha, src, ctx, {_q('val')} from b{k}")
-    out["param_grid"] = _base(CYCLIC, *ctes, recursive=True) + " union all ".join(parts)
+    inverse = _weighted(SCHEMES["weigh_inv_pred_freq"][1], "wi")
+    for query, with_edges in (("param_grid", False), ("param_grid_relational", True)):
+        ctes, parts = [u, inverse], []
+        for i, name in enumerate(GRID_WEIGHERS):
+            for k, (alpha, eps) in enumerate(GRID):
+                ctes += [_walk(f"f{i}{k}", ("we", "wi")[i], alpha), _vector(f"b{i}{k}", f"f{i}{k}", ("we", "wi")[i], alpha, with_edges)]
+                parts.append(f"select '{name}' as weigher, {alpha!r}::double as alpha, src, ctx, {_q('val')} from b{i}{k}")
+        out[query] = _base(CYCLIC, *ctes, recursive=True) + " union all ".join(parts)
+    out["bca_with_edges_relational"] = out["bca_with_edges"]
+    out["computer_with_edges"] = out["crec_roundtrip"] = _base(TYPED, *full, "b as (select * from b0)", recursive=True) + words
+    plain = (u, _walk("f", "we", ALPHA), _vector("b0", "f", "we", ALPHA, False))
+    out["computer_no_edges_entities"] = _base(TYPED, *plain, "b as (select * from b0 where src in (select id from ents))", recursive=True) + words
+    out["computer_no_edges_normalized"] = _base(TYPED, *plain, "b as (select src, ctx, val / sum(val) over (partition by src) as val from b0 where src <> ctx)", recursive=True) + words
+    out["computer_reweighed"] = _base(TYPED, inverse, _walk("f", "wi", ALPHA), _vector("b", "f", "wi", ALPHA, False), recursive=True) + words
+    out["computer_two_way_normalized"] = out["bcv_remove_normalize"]
+    out["computer_backward_only"] = _base(TYPED, *both, "b as (select * from v2)", recursive=True) + result
+    out["bcv_add_above"] = _base(TYPED, *both, "b as (select * from s where val > 0.01)", recursive=True) + result
+    out["bcv_labelled"] = _base(TYPED, *full, "names as (select id, label from nodes union all select id, label from preds)", f"v as (select src, label, ctx, {_q('val')} from b0 join names on id = ctx)", recursive=True) + """select src, '[' || string_agg('{"label":' || to_json(label) || ',"id":' || ctx || ',"val":' || q || '}', ',' order by label, ctx, q) || ']' as text from v group by src"""
+    out["weigh_each_edge"] = _base(ALL) + f"select src, p, dst, {_q('((src % 5 + 1)::double / (dst % 3 + 2))')} from edges"
+    out["crec_columns"] = _base(TYPED, *full, recursive=True) + f"select row_number() over (order by ctx, src) - 1 as slot, (src + 1)::int as word1, (ctx + 1)::int as word2, {_q('(val * 2)')} from b0"
+    lv = "l(id, level) as (select id, 0::bigint from nodes where id not in (select src from edges) union select e.src, level + 1 from l join edges e on e.dst = l.id)", "lv as (select id, max(level) as level from l group by id)"
+    out["compute_order_relational"] = _base(DAG, *lv, recursive=True) + "select row_number() over (order by level, id) - 1 as pos, id from lv"
+    # Turns: state is what has gone. No node left is ready: the busiest goes.
+    turns = """si as (select distinct src, dst from edges where src <> dst),
+      gone(turn, ids) as (select 0, []::bigint[] union all
+        select turn + 1, list_concat(ids, coalesce(
+          (select list(id order by id) from nodes where not list_contains(ids, id) and id not in (select src from si where not list_contains(ids, dst))),
+          (select [arg_max(dst, (n, -dst))] from (select dst, count(*) as n from si where not list_contains(ids, src) and not list_contains(ids, dst) group by dst))))
+        from gone where len(ids) < (select count(*) from nodes))"""
+    out["compute_order"] = out["order_file"] = _base(CYCLIC, turns, recursive=True) + "select (generate_subscripts(ids, 1) - 1)::bigint as pos, unnest(ids) as id from gone where len(ids) = (select count(*) from nodes)"
+    for query, with_edges in (("bca_cached", False), ("bca_cached_with_edges", True)):
+        ctes = [u, *lv, f"flow as (select src, dst, level, sum(({1 - ALPHA!r})::double * weight) as p from we join lv on lv.id = src group by all)"]
+        for k in range(4):
+            known = " union all ".join(f"select * from m{j}" for j in range(k)) or "select 0 as src, 0 as ctx, 0.0 as val where false"
+            crossed = f" union all select src, q.id, {ALPHA!r} * ({1 - ALPHA!r})::double * weight from we join lv on lv.id = src join preds q on q.label = we.p where level = {k}" if with_edges else ""
+            ctes.append(f"m{k} as (select src, ctx, sum(val) as val from (select id as src, id as ctx, {ALPHA!r}::double as val from lv where level = {k} union all select flow.src, m.ctx, m.val * p from flow join ({known}) m on m.src = flow.dst where level = {k} and m.val * p > {EPS * ALPHA!r}::double{crossed}) group by 1, 2)")
+        out[query] = _base(DAG, *ctes, "b as (select * from m0 union all select * from m1 union all select * from m2 union all select * from m3)", recursive=True) + result
+    out["triples_file"] = f"select s, p, o from ({everything})"
+    out["triples_file_no_literals"] = f"select s, p, o from ({everything}) where o not like '\"%'"
+    out["vocab_file"] = out["vocab_with_edges"]
+    out["rank_file"] = out["tsv_rank_map"]
+
+    def named(name: str, vector: str) -> str:
+        return f"select '{name}' as name, (src + 1)::int as word1, (ctx + 1)::int as word2, {_q('val')} from {vector}"
+
+    def matrix(alpha: str, eps: str, weigher: str = "UniformWeigher", entities: str = "no", edges: str = "yes", graph: str = "g") -> str:
+        return f"/glove_input_file-{graph}-no_literals-forwardWeigher_{weigher}-alpha_{alpha}-eps_{eps}-onlyEntities_{entities}-edges_{edges}.bin"
+
+    out["file_to_matrix"] = _base(TYPED, u, _walk("f", "we", 0.7, 1e-5), _vector("b", "f", "we", 0.7, True, 1e-5), recursive=True) + named(matrix("0.69999999999999996", "1.0000000000000001e-05"), "b")
+    ctes, parts = [u], []
+    for i, (alpha, shown) in enumerate(((0.1, "0.10000000000000001"), (0.2, "0.20000000000000001"), (0.3, "0.29999999999999999"), (0.4, "0.40000000000000002"), (0.5, "0.5"))):
+        for k, (eps, tiny) in enumerate(((1e-5, "1.0000000000000001e-05"), (1e-4, "0.0001"))):
+            ctes += [_walk(f"f{i}{k}", "we", alpha, eps), _vector(f"b{i}{k}", f"f{i}{k}", "we", alpha, True, eps)]
+            parts.append(named(matrix(shown, tiny), f"b{i}{k}"))
+    out["experiment_files"] = _base(CYCLIC, *ctes, recursive=True) + " union all ".join(parts)
+    ways = (u, "back as (select dst as src, p, src as dst from edges)", _weighted("1.0", "wb", "back"), _walk("f", "we", 0.3, 1e-5), _walk("h", "wb", 0.3, 1e-5), _vector("v1", "f", "we", 0.3, True, 1e-5), _vector("v2", "h", "wb", 0.3, True, 1e-5), "s as (select src, ctx, sum(val) as val from (select * from v1 union all select * from v2) group by 1, 2)", "b as (select src, ctx, val / sum(val) over (partition by src) as val from s where src <> ctx)")
+    out["two_way_files"] = _base(TYPED, *ways, recursive=True) + named("/glove_input_file-g-forward_UniformWeigher-reverse_UniformWeigher-alpha_0.29999999999999999-eps_1.0000000000000001e-05-onlyEntities_no-normalize_yes.bin", "b")
+    alphas = "(values ('0.69999999999999996'), ('0.10000000000000001')) a(a), (values ('no'), ('yes')) e(e), (values ('yes'), ('no')) d(d)"
+    grid = " union all ".join(f"select 'out{matrix('@', '1.0000000000000001e-05', n, '#', '%', 'a_b_nt')}' as name" for n in GRID_WEIGHERS)
+    out["run_names"] = f"select replace(replace(replace(name, '@', a), '#', e), '%', d) as name from ({grid}), {alphas} union all select 'out/glove_vocab_' || x || '_edges_a_b_nt.txt' from (values ('with'), ('no')) v(x)"
     return out

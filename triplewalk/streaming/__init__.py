@@ -10,6 +10,5 @@ from ..functions import ntriples as nt
 
 def stream_ntriples(spark: SparkSession, folder: str, compat: bool = False) -> DataFrame:
     """(s, p, o) of the lines of new files; the same expressions as in batch. Malformed lines are left out."""
-    t = nt.parse(F.col("value"), compat)
     source = spark.readStream.format("text").option("lineSep", "\n").load(folder)
-    return source.filter(nt.is_content(F.col("value"))).select(t.s.alias("s"), t.p.alias("p"), t.o.alias("o"), t.ok.alias("ok")).filter("ok").drop("ok")
+    return nt.with_terms(source.filter(nt.is_content(F.col("value"))).select("value"), compat).filter("ok").select("s", "p", "o")
