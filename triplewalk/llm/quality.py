@@ -68,16 +68,21 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Model(NamedTuple):
     weights: np.ndarray
     thresholds: np.ndarray
+    #: The probability of the top grade from which documents are selected.
+    least: float = 0.5
 
     def score(self, x: np.ndarray, first: np.ndarray) -> np.ndarray:
         return np.add.reduceat(self.weights[x], first[:-1]) if len(first) > 1 else np.zeros(0)
 
     def grades(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(expected grade, probability of the top grade) of each row."""
-        s = self.score(*features(texts))
-        above = 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - s[:, None], -60, 60)))
+        above = self.above(self.score(*features(texts)))
         return above.sum(axis=1), above[:, -1]
 
+    def above(self, s: np.ndarray) -> np.ndarray:
+        """Probabilities of a grade above each threshold."""
+        return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - s[:, None], -60, 60)))
+
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -123,22 +128,23 @@ def _telling(x: np.ndarray, row: np.ndarray, y: np.ndarray, top: int, width: int
     return np.flatnonzero(often & (best >= np.sqrt(2 * np.log(max(2, often.sum())))))
 
 
-def train(texts: list[str], grades: list[int], *, top: int, epochs: int = 200, rate: float = 0.15, ridge: float = 1e-4, least: int = 3) -> Model:
-    """Full-batch Adam on the ridge-penalised likelihood, over texts that aren't copies of one another. Words keep weight 0
-    if they're in fewer than ``least`` of them or not associated with a grade beyond chance. Thresholds are
-    the first and the logs of the steps above it, so they rise. Grades are weighted by the
-    inverse root of their share."""
-    y = np.asarray(grades, np.int64)
-    parts, edges = [], [np.zeros(1, np.int64)]
-    array = pa.array(texts, pa.string())
-    for lo, hi in tc.chunks(array):
-        x, first = features(array.slice(lo, hi - lo))
-        parts.append(x)
-        edges.append(first[1:] + edges[-1][-1])
-    x, first = np.concatenate(parts), np.concatenate(edges)
-    kept = distinct_texts(x, first)
-    x = np.concatenate([x[first[r] : first[r + 1]] for r in kept])
-    row, y = np.repeat(np.arange(len(kept)), np.diff(first)[kept]), y[kept]
+def gradient(w: np.ndarray, t: np.ndarray, x: np.ndarray, row: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray]:
+    """(penalised negative log likelihood, its gradient by w and by t); t are the first threshold and the logs of the steps above it."""
+    top = len(t)
+    theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
+    s = np.bincount(row, w[x], len(y))
+    bound = np.concatenate([[-60.0], theta, [60.0]])
+    hi, lo = _sigmoid(bound[y + 1] - s), _sigmoid(bound[y] - s)
+    p = np.maximum(hi - lo, 1e-9)
+    dhi, dlo = hi * (1 - hi), lo * (1 - lo)
+    ds = weight * (dhi - dlo) / p
+    g_theta = -np.array([(weight * ((y == k) * dhi - (y == k + 1) * dlo) / p).sum() for k in range(top)])
+    tail = np.cumsum(g_theta[::-1])[::-1]
+    value = -(weight * np.log(p)).sum() + ridge / 2 * (w * w).sum()
+    return value, np.concatenate([np.bincount(x, ds[row], len(w)) + ridge * w, np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])])])
+
+
+def _solve(x: np.ndarray, row: np.ndarray, y: np.ndarray, top: int, epochs: int, rate: float, ridge: float, least: int) -> Model:
     width = (1 << BITS) + STYLES * STEPS
     used = _telling(x, row, y, top, width, least)
     index = np.full(width, -1, np.int64)
@@ -152,16 +158,7 @@ def train(texts: list[str], grades: list[int], *, top: int, epochs: int = 200, r
     t[0] = -1.0
     state = [np.zeros(len(w) + top), np.zeros(len(w) + top)]
     for step in range(1, epochs + 1):
-        theta = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        s = np.bincount(row, w[x], len(y))
-        bound = np.concatenate([[-60.0], theta, [60.0]])
-        hi, lo = _sigmoid(bound[y + 1] - s), _sigmoid(bound[y] - s)
-        p = np.maximum(hi - lo, 1e-9)
-        dhi, dlo = hi * (1 - hi), lo * (1 - lo)
-        ds = weight * (dhi - dlo) / p
-        g_theta = -np.array([(weight * ((y == k) * dhi - (y == k + 1) * dlo) / p).sum() for k in range(top)])
-        tail = np.cumsum(g_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(x, ds[row], len(w)) + ridge * w, np.concatenate([tail[:1], tail[1:] * np.exp(t[1:])])])
+        _, g = gradient(w, t, x, row, y, weight, ridge)
         state[0] = 0.9 * state[0] + 0.1 * g
         state[1] = 0.99 * state[1] + 0.01 * g * g
         move = rate * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.99**step)) + 1e-8) * (1 - step / (epochs + 1))
@@ -172,6 +169,65 @@ def train(texts: list[str], grades: list[int], *, top: int, epochs: int = 200, r
     return Model(weights, np.cumsum(np.concatenate([t[:1], np.exp(t[1:])])))
 
 
+def calibrate(p: np.ndarray, y: np.ndarray, top: int, most_lowest: float, least_top: float) -> float:
+    """The probability that tells the top grade from the others best (most of the one less most of the other, mid-way where that is alike),
+    raised until at most ``most_lowest`` of the lowest grade are selected, but no higher than keeps ``least_top`` of the top grade."""
+    good, rest, bad = np.sort(p[y == top]), np.sort(p[y < top]), np.sort(p[y == 0])
+    if not len(good) or not len(rest):
+        return 0.5
+    edges = np.unique(np.concatenate([good, rest]))
+    between = np.concatenate([edges[:1], (edges[1:] + edges[:-1]) / 2])
+    gain = np.searchsorted(rest, between) / len(rest) - np.searchsorted(good, between) / len(good)
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    cut = between[best[len(best) // 2]]
+    if len(bad):
+        at = int(np.ceil((1 - most_lowest) * len(bad))) - 1
+        cut = max(cut, np.nextafter(bad[at], 1) if at >= 0 else 0.0)
+    return float(min(cut, good[int((1 - least_top) * len(good))]))
+
+
+def train(texts: list[str], grades: list[int], *, top: int, epochs: int = 200, rate: float = 0.15, ridge: float = 1e-4, least: int = 3, folds: int = 8, most_lowest: float = 0.02, least_top: float = 0.95) -> Model:
+    """Full-batch Adam on the ridge-penalised likelihood, over texts that aren't copies of one another. Words keep weight 0
+    if they're in fewer than ``least`` of them or not associated with a grade beyond chance. Thresholds are
+    the first and the logs of the steps above it, so they rise. Grades are weighted by the
+    inverse root of their share.
+
+    The probability to select from (see ``calibrate``) is found on texts that the model hasn't seen, each by a model of the other ``folds`` - 1
+    parts; the model itself is of all."""
+    y = np.asarray(grades, np.int64)
+    parts, edges = [], [np.zeros(1, np.int64)]
+    array = pa.array(texts, pa.string())
+    for lo, hi in tc.chunks(array):
+        x, first = features(array.slice(lo, hi - lo))
+        parts.append(x)
+        edges.append(first[1:] + edges[-1][-1])
+    x, first = np.concatenate(parts), np.concatenate(edges)
+    kept = distinct_texts(x, first)
+    size = np.diff(first)[kept]
+    x = np.concatenate([x[first[r] : first[r + 1]] for r in kept])
+    row, y = np.repeat(np.arange(len(kept)), size), y[kept]
+
+    def of(rows: np.ndarray):
+        number = np.cumsum(rows) - 1
+        return x[rows[row]], number[row[rows[row]]], y[rows]
+
+    solve = lambda rows: _solve(*of(rows), top, epochs, rate, ridge, least)
+    # Each fold has every folds-th text of each grade.
+    fold = np.zeros(len(y), np.int64)
+    for k in range(top + 1):
+        at = np.flatnonzero(y == k)
+        fold[at] = np.arange(len(at)) % folds
+    unseen = np.full(len(y), np.nan)
+    for k in range(folds):
+        held = fold == k
+        if held.any() and not held.all():
+            hx, hrow, hy = of(held)
+            model = solve(~held)
+            unseen[held] = model.above(np.bincount(hrow, model.weights[hx], len(hy)))[:, -1]
+    some = ~np.isnan(unseen)
+    return solve(np.ones(len(y), bool))._replace(least=calibrate(unseen[some], y[some], top, most_lowest, least_top))
+
+
 #: Grades of the ``labels`` table: toxic 0, poor 1, good 2.
 TOP = 2
 
@@ -198,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_per_grade: int = 4000, see
 
 def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, expected_grade, top_probability) of every row; null texts are scored as empty ones. Without a model both are
-    null. Only doc_id and text are read; repeated rows are scored each."""
+    null. Only doc_id and text are read; repeated rows are scored each, long texts by all their words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -211,6 +267,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id bigint, expected_grade double, top_probability double")
 
 
-def select(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
-    """The rows of ``scores`` whose probability of the top grade is at least ``least``."""
-    return scores(docs, model).filter(F.col("top_probability") >= least)
+def select(docs: DataFrame, model: Model | None, least: float | None = None) -> DataFrame:
+    """The rows of ``scores`` whose probability of the top grade is at least ``least``, by default what the model found on ratings
+    that it held out. Ties are of one score and go together; repeated rows, too. Without a model nothing is selected."""
+    return scores(docs, model).filter(F.col("top_probability") >= (least if least is not None else model.least if model else 1.0))
