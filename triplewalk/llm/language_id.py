@@ -8,6 +8,7 @@ entropy is higher than held-out texts of the language, of such a length, make pl
 
 from __future__ import annotations
 
+import unicodedata
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +20,8 @@ from . import textcore as tc
 from .sampling import per_label
 
 _R = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLD = np.array([c if chr(c).isalpha() else 32 for c in range(0x3000)], np.uint32)
+#: Letters and the marks that belong to them, over all of Unicode.
+_LETTER = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x110000)])
 _TOP = 18
 
 
@@ -31,7 +33,7 @@ def symbols(texts: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     cp = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     lead = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     first = lead[at]
-    cp = np.where(cp < len(_FOLD), _FOLD[np.minimum(cp, len(_FOLD) - 1)], cp)
+    cp = np.where(_LETTER[cp], cp, np.uint32(32))
     space = cp == 32
     keep = np.ones(len(cp), bool)
     keep[1:] = ~(space[1:] & space[:-1])
@@ -228,7 +230,10 @@ def train(samples: dict[str, list[str]], order: int = 4, held_out: int = 5, z: f
 
 
 def fit(docs: DataFrame, *, sample_per_language: int = 400, order: int = 4, seed: int = 3, z: float = 6.0) -> Model | None:
-    """A model from at most ``sample_per_language`` rows of each ``lang``, whole texts; None if no row has both."""
+    """A model from at most ``sample_per_language`` rows of each ``lang``, whole texts; None if no row has both.
+
+    Rows are chosen by a seeded hash of doc_id; a doc_id under several languages counts for each, and rows that repeat doc_id and lang all
+    count once the pair is chosen. Rows with a null are ignored; texts without a letter teach nothing but spaces."""
     labelled = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).filter("text is not null and lang is not null and doc_id is not null")
     chosen = per_label(labelled.select("lang", "doc_id"), "lang", "doc_id", sample_per_language, seed)
     if not chosen:
@@ -242,7 +247,8 @@ def fit(docs: DataFrame, *, sample_per_language: int = 400, order: int = 4, seed
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, lang, cross_entropy, accepted) of every row; only doc_id and text are read. A text without a letter, empty or null, is
-    rejected, with a null cross-entropy; a rejected row's lang is ``und``. Without a model every row is rejected."""
+    rejected, with a null cross-entropy; a rejected row's lang is ``und``. Languages that tie: the first by name. Repeated rows are
+    identified each, long texts by all their characters. Without a model every row is rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
