@@ -60,7 +60,7 @@ def _pem_ok(m: re.Match) -> bool:
 
 
 def _varied(m: re.Match) -> bool:
-    """Not a placeholder: letters or digits of at least 7 kinds, with a digit."""
+    """Not a placeholder: letters or digits of at least 7 kinds, with a digit. All that tells an assigned value, quoted or up to white space."""
     s = m["secret"]
     return len(set(s.lower())) >= 7 and any(c.isdigit() for c in s)
 
@@ -82,7 +82,7 @@ RULES = (
     Rule("maps_key", ("aiza",), _C(r"(?P<secret>AIza[0-9A-Za-z_-]{35})(?![0-9A-Za-z_-])"), None),
     Rule("web_token", ("eyj",), _C(r"(?<![A-Za-z0-9_-])(?P<secret>eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)"), _jwt_ok),
     Rule("private_key", ("-----begin",), _C(r"(?P<secret>-----BEGIN (?P<label>[A-Z ]*PRIVATE KEY)-----(?P<body>[A-Za-z0-9+/=\s]+)-----END (?P=label)-----)"), _pem_ok),
-    Rule("assigned", ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key"), _C(r"""(?i:token|secret|passwd|password|api[_-]?key|access_key)["']?[ \t]{0,4}(?:=|:|:=|=>)[ \t]{0,4}(?P<q>["'])(?P<secret>[A-Za-z0-9+/_.=-]{16,})(?P=q)"""), _varied),
+    Rule("assigned", ("token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key"), _C(r"""(?i:token|secret|passwd|password|api[_-]?key|access_key)[A-Za-z0-9_-]{0,40}["']?[ \t]{0,4}(?:=|:|:=|=>)[ \t]{0,4}(?P<q>["'])?(?P<secret>[A-Za-z0-9+/_.=-]{16,})(?(q)(?P=q)|(?=[\s,;]|\Z))"""), _varied),
 )
 
 
