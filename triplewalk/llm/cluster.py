@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..lineage import shared_folder
+
 
 def cut(df: DataFrame) -> DataFrame:
     """A checkpoint of ``df`` in the folder that ``spark.checkpoint.dir`` names and all executors share, so that a lost
-    executor costs a read of it, not a recomputation. Only where the session names no folder (as in tests) one is made."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    executor costs a read of it, not a recomputation."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -31,14 +28,14 @@ def fresh(df: DataFrame, base: str) -> str:
     return base
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a BIGINT, b BIGINT)``: (node, root) with the least node as root, by alternating
     large-star and small-star steps, each a groupBy and join on nodes; about log(size) rounds, cut every round.
 
     No edges: no rows. Self loops and repeated edges change nothing."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = None
-    for _ in range(limit):
+    while True:
         mark = tuple(e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == seen or mark[0] == 0:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
@@ -49,7 +46,6 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = cut(small.filter("u <> v").distinct())
-    raise RuntimeError(f"no convergence in {limit} rounds")
 
 
 def is_empty(df: DataFrame) -> bool:
