@@ -157,10 +157,22 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "is_first")
 
 
+def op10_sql(least: int = 50) -> str:
+    return f"""
+with d as ({_tokens("documents", "doc_id")}),
+w as (select doc_id, p, array_to_string(t[p + 1 : p + {least}], ' ') as run from (select *, unnest(range(greatest(0, len(t) - {least - 1}))) as p from d)),
+tied as (select run, min(doc_id) as least from w group by run having count(distinct doc_id) > 1),
+places as (select doc_id, p, doc_id = least as is_first from w join tied using (run)),
+heads as (select *, coalesce(p > lag(p) over s + {least}, true)::int as head from places window s as (partition by doc_id, is_first order by p)),
+islands as (select *, sum(head) over (partition by doc_id, is_first order by p) as island from heads)
+select doc_id, min(p)::bigint as start, (max(p) + {least})::bigint as "end", is_first from islands group by doc_id, is_first, island
+"""
+
+
 def queries() -> dict[str, Query]:
     found = {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": op3_sql(), "op5_url_filter": OP5_SQL}
+    return {"op3_decontaminate": op3_sql(), "op5_url_filter": OP5_SQL, "op10_suffix_dedup": op10_sql()}

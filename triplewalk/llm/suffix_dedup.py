@@ -1,4 +1,4 @@
-"""Passages that repeat across documents, by a difference-cover suffix sort, a bucket at a time.
+"""Passages that repeat across documents, by names of windows and a difference cover, a bucket at a time.
 
 ``COVER`` holds every difference mod 31: whatever two places a passage of ``min_tokens`` stands at, within its first 31 tokens there
 is one shift at which both are cover samples, and from there at least ``min_tokens`` - 30 tokens remain.
@@ -7,18 +7,18 @@ is one shift at which both are cover samples, and from there at least ``min_toke
    sorted, and names that stand in one document only are dropped. What is left are the ties that long passages lead to.
 2. Only suffixes up to 30 tokens before a tied sample can share ``min_tokens`` tokens with another. They are named by those
    tokens, go to buckets by name, and each bucket is sorted by (name, document, place): suffixes with a common prefix that long
-   become neighbours, as in a suffix array cut at ``min_tokens``. Ties are settled by names, so no comparison ever reads
-   a text, and memory is bounded by a bucket.
+   become neighbours. Memory is bounded by a bucket.
 3. Tied suffixes return to their documents and are merged into passages.
 
-Names are 64-bit hashes: neighbours have the order of names, not of the alphabet, which is all that finding repeats needs.
+Names are 64-bit hashes. Suffixes are told apart to ``min_tokens`` and no further, and there are no ranks of samples: whether a run of
+``min_tokens`` repeats doesn't depend on the order of suffixes beyond it (the README has what that order would cost).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import blobs
@@ -33,7 +33,7 @@ _FLUSH = 1_500_000
 
 
 class _Out:
-    """Collects (key, doc, sum, place) records and packs them by target partition."""
+    """Collects (key, doc, which, place) records and packs them by target partition."""
 
     def __init__(self, parts: int):
         self.parts, self.rows, self.n = parts, [], 0
@@ -57,33 +57,33 @@ def _sampler(min_tokens: int, parts: int):
     def run(batches):
         out = _Out(parts)
         for batch in batches:
-            doc, total = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            doc, which = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, _, h, first in tc.tokens(batch.column(2)):
                 pos = tc.row_starts(first, name)
                 row = np.searchsorted(first, pos, "right") - 1
                 place = pos - first[row]
                 use = _IN_COVER[place % PERIOD] & (np.diff(first)[row] >= min_tokens)
                 pos, row, place = pos[use], row[use], place[use]
-                yield from out.add(tc.Windows(h).at(pos, name), doc[lo + row], total[lo + row].astype(np.int32), place.astype(np.int32))
+                yield from out.add(tc.Windows(h).at(pos, name), doc[lo + row], which[lo + row].astype(np.int32), place.astype(np.int32))
         yield from out.flush()
 
     return run
 
 
 def _tied(records):
-    """(doc, sum, place, first) of the records whose key occurs in two documents or more; first: in the least of them."""
-    key, doc, total, place = records
-    order = np.lexsort((place, total, doc, key))
-    key, doc, total, place = key[order], doc[order], total[order], place[order]
+    """(doc, which, place, first) of the records whose key occurs in two documents or more; first: in the least of them."""
+    key, doc, which, place = records
+    order = np.lexsort((place, which, doc, key))
+    key, doc, which, place = key[order], doc[order], which[order], place[order]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     head = np.flatnonzero(new)
     last = np.append(head[1:], len(key)) - 1
-    tied = (doc[head] != doc[last]) | (total[head] != total[last])
+    tied = (doc[head] != doc[last]) | (which[head] != which[last])
     run = np.cumsum(new) - 1
-    first = (doc == doc[head][run]) & (total == total[head][run])
+    first = (doc == doc[head][run]) & (which == which[head][run])
     keep = tied[run]
-    return doc[keep], total[keep], place[keep], first[keep]
+    return doc[keep], which[keep], place[keep], first[keep]
 
 
 def _ties(parts: int):
@@ -92,30 +92,30 @@ def _ties(parts: int):
     def run(batches):
         records = blobs.gather(batches)
         if records is not None:
-            doc, total, place, first = _tied(records)
+            doc, which, place, first = _tied(records)
             key = tc.mix(doc.view(np.uint64))
             for lo in range(0, len(doc), _FLUSH):
                 s = slice(lo, lo + _FLUSH)
                 # Sorted by (document, place), whose places then are near-equal numbers.
-                yield blobs.scatter((key[s] % np.uint64(parts)).astype(np.int64), parts, doc[s].view(np.uint64), total[s], place[s] * 2 + first[s])
+                yield blobs.scatter((key[s] % np.uint64(parts)).astype(np.int64), parts, doc[s].view(np.uint64), which[s], place[s] * 2 + first[s])
 
     return run
 
 
 def _by_document(batches):
-    """(doc, sum, place, first), sorted, of the documents of one partition."""
+    """(doc, which, place, first), sorted, of the documents of one partition."""
     records = blobs.gather(batches)
     if records is None:
         return None
-    doc, total, place = records
+    doc, which, place = records
     doc = doc.view(np.int64)
-    order = np.lexsort((place, total, doc))
-    return doc[order], total[order], place[order] >> 1, (place[order] & 1).astype(bool)
+    order = np.lexsort((place, which, doc))
+    return doc[order], which[order], place[order] >> 1, (place[order] & 1).astype(bool)
 
 
-def _edges(doc: np.ndarray, total: np.ndarray) -> np.ndarray:
+def _edges(doc: np.ndarray, which: np.ndarray) -> np.ndarray:
     new = np.ones(len(doc) + 1, bool)
-    new[1:-1] = (doc[1:] != doc[:-1]) | (total[1:] != total[:-1])
+    new[1:-1] = (doc[1:] != doc[:-1]) | (which[1:] != which[:-1])
     return np.flatnonzero(new)
 
 
@@ -124,17 +124,17 @@ def _candidates(batches):
     found = _by_document(batches)
     if found is None:
         return
-    doc, total, place, _ = found
-    edges = _edges(doc, total)
+    doc, which, place, _ = found
+    edges = _edges(doc, which)
     at = edges[:-1]
-    yield pa.record_batch([pa.array(doc[at]), pa.array(total[at].astype(np.int64)), pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(at, edges[1:])], pa.binary())], names=["doc", "sum", "places"])
+    yield pa.record_batch([pa.array(doc[at]), pa.array(which[at].astype(np.int64)), pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(at, edges[1:])], pa.binary())], names=["doc", "which", "places"])
 
 
 def _suffixes(min_tokens: int, parts: int):
     def run(batches):
         out = _Out(parts)
         for batch in batches:
-            doc, total = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            doc, which = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, hi, h, first in tc.tokens(batch.column(2)):
                 open_ = np.zeros(len(h) + 1, np.int32)
                 for r in range(lo, hi):
@@ -144,7 +144,7 @@ def _suffixes(min_tokens: int, parts: int):
                 pos = tc.row_starts(first, min_tokens)
                 pos = pos[np.cumsum(open_)[pos] > 0]
                 row = np.searchsorted(first, pos, "right") - 1
-                yield from out.add(tc.Windows(h).at(pos, min_tokens), doc[lo + row], total[lo + row].astype(np.int32), (pos - first[row]).astype(np.int32))
+                yield from out.add(tc.Windows(h).at(pos, min_tokens), doc[lo + row], which[lo + row].astype(np.int32), (pos - first[row]).astype(np.int32))
         yield from out.flush()
 
     return run
@@ -157,38 +157,53 @@ def _passages(min_tokens: int):
             return
         out = [[], [], [], [], []]
         for flag in (False, True):
-            doc, total, place = (c[found[3] == flag] for c in found[:3])
+            doc, which, place = (c[found[3] == flag] for c in found[:3])
             if not len(doc):
                 continue
             new = np.ones(len(doc), bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (total[1:] != total[:-1]) | (place[1:] > place[:-1] + min_tokens)
+            new[1:] = (doc[1:] != doc[:-1]) | (which[1:] != which[:-1]) | (place[1:] > place[:-1] + min_tokens)
             head = np.flatnonzero(new)
             last = np.append(head[1:], len(doc)) - 1
-            for c, v in zip(out, (doc[head], total[head].astype(np.int64), place[head].astype(np.int64), place[last].astype(np.int64) + min_tokens, np.full(len(head), flag))):
+            for c, v in zip(out, (doc[head], which[head].astype(np.int64), place[head].astype(np.int64), place[last].astype(np.int64) + min_tokens, np.full(len(head), flag))):
                 c.append(v)
-        yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["doc_id", "text_sum", "start", "end", "is_first"])
+        yield pa.record_batch([pa.array(np.concatenate(c)) for c in out], names=["doc", "which", "start", "end", "is_first"])
 
     return run
 
 
-def repeated_passages(docs: DataFrame, *, min_tokens: int = 50) -> DataFrame:
-    """(doc_id, text_sum, start, end, is_first): passages, as token ranges, of which every run of ``min_tokens`` tokens also
-    stands in another document. ``is_first``: the occurrence in the least (doc_id, text_sum), which deduplication keeps; the others are
-    to go. Overlapping and adjoining runs are merged, first and other ones apart.
-
-    A document is its doc_id and 16 bits of its text's hash, ``text_sum``; rows that repeat both are one document, repeats within a
-    document don't count. Rows with a null doc_id or text, and texts shorter than ``min_tokens``, have no passages. Only doc_id and text are
-    read. ``min_tokens`` is at least 32.
+def _texts(docs: DataFrame, most_broadcast: int) -> tuple[DataFrame, DataFrame]:
+    """(rows doc, which, text; doc, which, sum of each document). ``which`` numbers the texts of a doc_id that has several, by their
+    64-bit sums, so that a document is exact without a sum in every record."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64("text").alias("sum"), F.col("text").alias("text")).filter("doc is not null and text is not null")
+    documents = cut(rows.select("doc", "sum").distinct())
+    several = documents.groupBy("doc").count().filter("count > 1").select("doc")
+    numbered = cut(documents.join(several, "doc").withColumn("which", F.row_number().over(Window.partitionBy("doc").orderBy("sum"))))
+    one = documents.join(several, "doc", "left_anti").withColumn("which", F.lit(0))
+    names = numbered.select("doc", "sum", "which").unionByName(one.select("doc", "sum", "which"))
+    marks = F.broadcast(numbered) if numbered.count() <= most_broadcast else numbered
+    return rows.join(marks, ["doc", "sum"], "left").select("doc", F.coalesce("which", F.lit(0)).cast("bigint").alias("which"), "text"), names
+
+
+def repeated_passages(docs: DataFrame, *, min_tokens: int = 50, most_broadcast: int = 1_000_000) -> DataFrame:
+    """(doc_id, text_sum, start, end, is_first): passages, as token ranges, all of whose runs of ``min_tokens`` tokens stand in another
+    document, too; not all of them need to stand in the same one. ``is_first``: the occurrence in the least document, which deduplication keeps; the
+    others are to go. Overlapping and adjoining runs are merged, first and other ones apart.
+
+    A document is its doc_id and the 64-bit hash of its text, ``text_sum``; rows that repeat both are one document, repeats within a
+    document don't count. Documents are in order of doc_id, then text_sum. Rows with a null doc_id or text, and texts shorter than
+    ``min_tokens``, have no passages. Long texts are taken whole, at about 100 bytes a token for one text at a time. Only doc_id and text are
+    read. ``min_tokens`` is at least 32. Up to ``most_broadcast`` documents that share their doc_id with another are broadcast; more are joined.
     """
     if min_tokens <= PERIOD:
         raise ValueError(f"min_tokens must be above {PERIOD}")
     parts = parallelism(docs.sparkSession)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(0xFFFF)).alias("sum"), F.col("text").alias("text")).filter("doc is not null and text is not null")
+    base, names = _texts(docs, most_broadcast)
     samples = blobs.exchange(base.mapInArrow(_sampler(min_tokens, parts), blobs.SCHEMA), parts)
     tied = blobs.exchange(samples.mapInArrow(_ties(parts), blobs.SCHEMA), parts)
-    candidates = cut(tied.mapInArrow(_candidates, "doc bigint, sum bigint, places binary"))
+    candidates = cut(tied.mapInArrow(_candidates, "doc bigint, which bigint, places binary"))
     # A document that is repeated row for row is taken once.
-    some = base.join(candidates, ["doc", "sum"]).select("doc", "sum", "text", "places")
+    some = base.join(candidates, ["doc", "which"]).select("doc", "which", "text", "places")
     suffixes = blobs.exchange(some.mapInArrow(_suffixes(min_tokens, parts), blobs.SCHEMA), parts)
     repeated = blobs.exchange(suffixes.mapInArrow(_ties(parts), blobs.SCHEMA), parts)
-    return repeated.mapInArrow(_passages(min_tokens), "doc_id bigint, text_sum bigint, start bigint, end bigint, is_first boolean")
+    found = repeated.mapInArrow(_passages(min_tokens), "doc bigint, which bigint, start bigint, end bigint, is_first boolean")
+    return found.join(names, ["doc", "which"]).select(F.col("doc").alias("doc_id"), F.col("sum").alias("text_sum"), "start", "end", "is_first")
