@@ -1,6 +1,6 @@
 """Approximate nearest neighbours: a graph by NN-descent, searched greedily.
 
-Vectors are spread over parts by hash. All work is supersteps: messages, packed into one row for each pair of parts, are exchanged by part, and
+Lists begin within blocks that random hyperplanes cut out. Vectors are spread over parts by hash. All work is supersteps: messages, packed into one row for each pair of parts, are exchanged by part, and
 each part handles its own. A descent round joins neighbours with neighbours: nodes tell those they list (reverse lists), send
 their vector, once to each part that needs it, and every node compares the nodes of its own and its reverse list with one another; pairs that
 improve a list go back to the list's part. Search keeps a beam for each query, asks the parts of its best unexpanded nodes for
@@ -99,27 +99,56 @@ def _reverse(parts: int, s: dict):
         yield q, "reverse", blobs.pack(a, b, c.astype(np.int32))
 
 
-def _first(parts: int, most: int):
+#: Nodes of a block at most; a part's nodes, beyond what the session's parallelism takes.
+BLOCK, PART_NODES = 1000, 50_000
+
+
+def _codes(vec: np.ndarray, bits: int, salt: int) -> np.ndarray:
+    """On which sides of ``bits`` random hyperplanes vectors lie, as a number."""
+    planes = np.random.default_rng([salt, 977]).normal(size=(vec.shape[1], bits)).astype(np.float32)
+    return (vec @ planes > 0) @ (np.int64(1) << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(vec), np.int64)
+
+
+def _to_blocks(s: dict, parts: int, bits: int, salt: int):
+    names = list(s)
+    for q, cols in _split(_hash(_codes(s["vec"], bits, salt), parts, salt), *s.values()):
+        yield q, "block", dict(zip(names, cols))
+
+
+def _spread(parts: int, bits: int, k: int):
     def step(part, box):
         s = _join(box["load"])
-        s["ids"], s["sims"] = _block_lists(s["nid"], s["vec"], most)
-        names = list(s)
-        for q, cols in _split(_hash(s["nid"], parts, 1), *s.values()):
-            yield q, "second", dict(zip(names, cols))
+        s["ids"], s["sims"] = np.full((len(s["nid"]), k), -1, np.int64), np.full((len(s["nid"]), k), _WORST, np.float32)
+        yield from _to_blocks(s, parts, bits, 0)
 
     return step
 
 
-def _second(parts: int, most: int, k: int):
+def _blocks(parts: int, bits: int, salt: int, last: bool):
+    """Exact neighbours within blocks of BLOCK nodes at most, which lie on one side of the hyperplanes, are merged into the lists."""
+
     def step(part, box):
-        s = _join(box["second"])
-        ids, sims = _block_lists(s["nid"], s["vec"], most)
-        own = np.repeat(np.arange(len(s["nid"])), ids.shape[1] + s["ids"].shape[1])
-        both, value = np.concatenate([s["ids"], ids], axis=1).ravel(), np.concatenate([s["sims"], sims], axis=1).ravel()
-        ok = both >= 0
-        a, b, c, r = _top(own[ok], both[ok], value[ok], k)
-        s["ids"], s["sims"], s["new"] = np.full((len(s["nid"]), k), -1, np.int64), np.full((len(s["nid"]), k), _WORST, np.float32), np.ones((len(s["nid"]), k), bool)
+        s = _join(box["block"])
+        n, k = s["ids"].shape
+        code = _codes(s["vec"], bits, salt)
+        order = np.lexsort((tc.mix(s["nid"].view(np.uint64)), code))
+        edges = np.flatnonzero(np.append(True, code[order][1:] != code[order][:-1]))
+        own, other, sim = [np.repeat(np.arange(n), k)], [s["ids"].ravel()], [s["sims"].ravel()]
+        for of in np.split(order, edges[1:]):
+            for block in np.array_split(of, -(-len(of) // BLOCK)):
+                ids, sims = _block_lists(s["nid"][block], s["vec"][block], k)
+                own.append(np.repeat(block, k))
+                other.append(ids.ravel())
+                sim.append(sims.ravel())
+        own, other, sim = np.concatenate(own), np.concatenate(other), np.concatenate(sim)
+        ok = other >= 0
+        a, b, c, r = _top(own[ok], other[ok], sim[ok], k)
+        s["ids"][:], s["sims"][:] = -1, _WORST
         s["ids"][a, r], s["sims"][a, r] = b, c
+        if not last:
+            yield from _to_blocks(s, parts, bits, salt + 1)
+            return
+        s["new"] = np.ones((n, k), bool)
         yield from _reverse(parts, s)
         names = list(s)
         for q, cols in _split(_hash(s["nid"], parts), *s.values()):
@@ -245,15 +274,22 @@ def _final(part, box):
     yield part, "state", {k: s[k] for k in ("nid", "vec", "ids", "sims")}
 
 
-def build(loads: DataFrame, parts: int, *, k: int = 60, reverse: int = 30, rounds: int = 12, stop: float = 0.02) -> DataFrame:
-    """Messages "state" with the neighbour lists of each part: ``k`` neighbours, after two exact passes within hashed blocks and
-    descent rounds until fewer than ``stop`` of the entries are new."""
-    graph = _settle(superstep(superstep(loads, parts, _first(parts, k // 2)), parts, _second(parts, k // 2, k)))
-    for _ in range(rounds):
+def build(loads: DataFrame, parts: int, *, n: int, k: int = 60, reverse: int = 30, passes: int = 2, stop: float = 0.02) -> DataFrame:
+    """Messages "state" with the neighbour lists of each part: ``k`` neighbours of each of the ``n`` nodes.
+
+    Lists begin with the neighbours within blocks of BLOCK nodes, which random hyperplanes cut out, ``passes`` times; descent rounds follow
+    until fewer than ``stop`` of the entries are new. A node meets all of its own list and ``reverse`` of those that list it, new ones
+    first: the sample of the method."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n) / BLOCK))))
+    graph = superstep(loads, parts, _spread(parts, bits, k))
+    for salt in range(passes):
+        graph = superstep(graph, parts, _blocks(parts, bits, salt, salt == passes - 1))
+    graph = _settle(graph)
+    while True:
         met = superstep(graph.filter("kind in ('state', 'reverse')"), parts, _meet(parts, reverse))
         graph = _settle(superstep(superstep(met, parts, _compare(parts, k // 2)), parts, _merge(parts)))
         news = [pickle.loads(r.blob) for r in graph.filter("kind = 'changed'").select("blob").collect()]
-        if sum(c for c, _ in news) < stop * max(1, sum(n for _, n in news)):
+        if sum(c for c, _ in news) <= stop * sum(n for _, n in news):
             break
     return _settle(superstep(graph.filter("kind = 'state'"), parts, _final))
 
@@ -380,12 +416,12 @@ def _answer(part, box):
         yield part, "beam", box["beam"][0]
 
 
-def search(graph: DataFrame, loads: DataFrame, parts: int, *, ef: int = 24, at_once: int = 6, degree: int = 20, rounds: int = 8, seeds: np.ndarray | None = None) -> DataFrame:
+def search(graph: DataFrame, loads: DataFrame, parts: int, *, ef: int = 24, at_once: int = 6, degree: int = 20, seeds: np.ndarray | None = None) -> DataFrame:
     """(query nid, node nid, similarity): the best ``ef`` nodes of each query, greedily: the ``at_once`` best unexpanded nodes
     of the beam are expanded in each round, by the ``degree`` nearest of their lists, until none is left. Without ``seeds`` the queries
     are the graph's own nodes, and start from their lists; others start at the seeds. A query that is a node finds itself, too."""
     beams = superstep(loads.unionByName(graph) if seeds is None else loads, parts, _start(parts, ef, seeds))
-    for _ in range(rounds):
+    while True:
         lists = superstep(beams.filter("kind in ('beam', 'expand', 'lists')").unionByName(graph), parts, _neighbours(degree))
         answers = superstep(superstep(lists, parts, _ask(parts)).unionByName(graph), parts, _answer)
         beams = _settle(superstep(answers, parts, _expand(parts, ef, at_once)))
@@ -402,18 +438,21 @@ def search(graph: DataFrame, loads: DataFrame, parts: int, *, ef: int = 24, at_o
     return beams.filter("kind = 'beam'").select("blob").mapInArrow(pairs, "query bigint, node bigint, similarity float")
 
 
-def neighbours(df: DataFrame, *, key: str = "vec_id", column: str = "embedding", most: int = 10, k: int = 60, reverse: int = 30, ef: int = 24) -> DataFrame:
+def neighbours(df: DataFrame, *, key: str = "vec_id", column: str = "embedding", most: int = 10, k: int = 60, reverse: int = 30, ef: int = 24, at_once: int = 6, degree: int = 20) -> DataFrame:
     """(``key``, neighbor_id, rank, similarity): the ``most`` rows most like each row by cosine, itself left out.
 
     Every row with a usable vector is a node and a query (see ``vectors_of``). Rows that repeat are rows of their own, and neighbours of
     one another; null keys are kept. Similarities that tie are ranked by the neighbour's key (null first). Fewer rows than
-    ``most`` + 1 give fewer neighbours; an empty table none. Only the two columns are read."""
-    # A part has to hold enough nodes for its block to connect them.
-    parts = int(min(parallelism(df.sparkSession), 1 + df.count() // 1000))
+    ``most`` + 1 give fewer neighbours; an empty table none. Only the two columns are read.
+
+    ``k`` and ``reverse`` shape the graph (see ``build``), ``ef``, ``at_once`` and ``degree`` the search (see ``search``); both go on until
+    they have converged. What a worker holds is bounded by PART_NODES, whatever the table's size."""
+    n = df.count()
+    parts = int(max(min(parallelism(df.sparkSession), 1 + n // BLOCK), 1 + n // PART_NODES))
     names, loads = vectors_of(df, key, column, parts)
     names, loads = cut(names), cut(loads)
-    graph = build(loads, parts, k=k, reverse=reverse)
-    found = search(graph, loads, parts, ef=max(ef, most + 1)).filter("query <> node")
+    graph = build(loads, parts, n=n, k=k, reverse=reverse)
+    found = search(graph, loads, parts, ef=max(ef, most + 1), at_once=at_once, degree=degree).filter("query <> node")
     out = found.join(names.select(F.col("nid").alias("query"), F.col("key").alias("a")), "query").join(names.select(F.col("nid").alias("node"), F.col("key").alias("b")), "node")
     from pyspark.sql import Window
 
