@@ -649,6 +649,29 @@ def test_scores_against_brute_force(spark, empty):
     assert {r.log_prob for r in suffix_lm.score(q, empty).collect()} == {0.0}
 
 
+def test_a_long_verbatim_query(spark):
+    import time
+
+    rng = random.Random(80)
+    text = words(rng, 20_000, 10**5)
+    corpus = spark.createDataFrame([(" ".join(text),), (" ".join(words(rng, 500, 10**5)),)], "text string").coalesce(1)
+    q = spark.createDataFrame([(1, " ".join(text)), (2, "zz " + " ".join(text[:300]) + " zz")], "item_id bigint, text string")
+    began = time.time()
+    rows = {r.item_id: r for r in suffix_lm.score(q, corpus).collect()}
+    assert time.time() - began < 20
+    assert (rows[1].n_tokens, rows[1].longest_context, rows[2].longest_context) == (20_001, 20_000, 300)
+    short = suffix_lm.score(spark.createDataFrame([(2, "zz " + " ".join(text[:300]) + " zz")], "item_id bigint, text string"), corpus).first()
+    assert short.log_prob == pytest.approx(rows[2].log_prob)
+
+
+def test_contexts_of_periodic_texts(spark):
+    for asked, corpus in ((["a"] * 40, [["a"] * 25, ["a"] * 3]), (list("ab" * 12), [list("ababab"), [], list("ba")])):
+        c = spark.createDataFrame([(" ".join(t),) for t in corpus], "text string")
+        r = suffix_lm.score(spark.createDataFrame([(1, " ".join(asked))], "item_id bigint, text string"), c, shard_tokens=20).first()
+        n, p, mean, longest = brute_score(asked, corpus)
+        assert (r.n_tokens, r.longest_context) == (n, longest) and r.log_prob == pytest.approx(p) and r.mean_context == pytest.approx(mean)
+
+
 def test_scores_awkward(spark, awkward):
     q = spark.createDataFrame([(1, "w1 w2", "x")], "item_id bigint, text string, pos string")
     assert suffix_lm.score(q, awkward).count() == 1
@@ -773,7 +796,7 @@ def test_search_from_seeds(spark):
     e, q = (rng.normal(size=(n, 16)).astype(np.float32) for n in (800, 50))
     frame = lambda x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>")
     names, loads = (cluster.cut(x) for x in nn_descent.vectors_of(frame(e), "vec_id", "embedding", 4))
-    graph = nn_descent.build(loads, 4, k=30, reverse=20)
+    graph = nn_descent.build(loads, 4, n=800, k=30, reverse=20)
     own, asked = (cluster.cut(x) for x in nn_descent.vectors_of(frame(q), "vec_id", "embedding", 4))
     key, query = ({r.nid: r.key for r in x.collect()} for x in (names, own))
     found = collections.defaultdict(list)
@@ -838,6 +861,26 @@ def test_passages_against_brute_force(spark, least):
     assert len(rows) == len(set(rows))
 
 
+def test_documents_that_share_an_id(spark):
+    """Two texts under one doc_id are two documents, whatever their hashes have in common; a short one among them is no trouble."""
+    rng = random.Random(70)
+    shared = " ".join(words(rng, 90))
+    rows = [(1, f"a{k}") for k in range(300)] + [(1, "head " * 200 + shared), (2, shared), (3, "x y " + shared), (3, shared + " z"), (3, shared + " z")]
+    for most in (10**6, 0):
+        found = suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string"), most_broadcast=most).collect()
+        assert sorted((r.doc_id, r.start, r.end, r.is_first) for r in found) == [(1, 200, 290, True), (2, 0, 90, False), (3, 0, 90, False), (3, 2, 92, False)]
+        assert len({r.text_sum for r in found}) == 4
+
+
+def test_a_long_pair(spark):
+    rng = random.Random(71)
+    text = words(rng, 60_000, 10**6)
+    other = text[:30_000] + ["edit"] + text[30_000:]
+    df = spark.createDataFrame([(1, " ".join(text)), (2, "start " + " ".join(other))], "doc_id bigint, text string")
+    rows = sorted((r.doc_id, r.start, r.end) for r in suffix_dedup.repeated_passages(df).collect())
+    assert rows == [(1, 0, 60_000), (2, 1, 30_001), (2, 30_002, 60_002)]
+
+
 def test_passages_awkward(awkward, empty):
     rows = suffix_dedup.repeated_passages(awkward).collect()
     assert {r.doc_id for r in rows} == {1, 4, 5, 6, 10}
