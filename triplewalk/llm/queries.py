@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .cluster import modest_batches
 
@@ -72,6 +73,28 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+#: The kinds of secrets that have no checksum, as (before the secret, secret, after it) without look-around; SQL can't check the others'.
+PLAIN_SECRETS = {
+    "access_key_id": ("(?:^|[^A-Z0-9])", "A[KS]IA[A-Z2-7]{16}", "(?:[^A-Z0-9]|$)"),
+    "chat_token": ("", "xox[abpr]-[0-9]{8,14}-[0-9A-Za-z-]{16,}", ""),
+    "payment_key": ("", "[sr]k_live_[0-9A-Za-z]{20,}", ""),
+    "maps_key": ("", "AIza[0-9A-Za-z_-]{35}", "(?:[^0-9A-Za-z_-]|$)"),
+    "assigned": ("(?i:token|secret|passwd|password|api[_-]?key|access_key)[A-Za-z0-9_-]{0,40}[\"'']?[ \\t]{0,4}(?:=|:|:=|=>)[ \\t]{0,4}[\"'']?", "[A-Za-z0-9+/_.=-]{16,}", "(?:[\"'']|[\\s,;]|$)"),
+}
+
+
+def op4_sql() -> str:
+    parts = []
+    for kind, (before, secret, after) in PLAIN_SECRETS.items():
+        p = f"'({before})({secret}){after}'"
+        varied = "where len(list_distinct(string_split(lower(secret), ''))) >= 7 and regexp_matches(secret, '[0-9]')" if kind == "assigned" else ""
+        parts.append(f"""
+select doc_id, '{kind}' as kind, (since + length(regexp_extract(m, {p}, 1)))::bigint as start, (since + length(regexp_extract(m, {p}, 1)) + length(secret))::bigint as "end", sha256(secret) as digest from (
+  select doc_id, ms[k] as m, regexp_extract(ms[k], {p}, 2) as secret, list_sum(list_transform(gaps[1 : k], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1 : k - 1], lambda x: length(x))), 0) as since from (
+    select doc_id, gaps, ms, unnest(range(1, len(ms) + 1)) as k from (select doc_id, string_split_regex(text, {p}) as gaps, regexp_extract_all(text, {p}, 0) as ms from documents where text is not null) where len(ms) > 0)) {varied}""")
+    return f"with found as ({' union all '.join(parts)}) select * from found f where not exists (select 1 from found g where g.doc_id = f.doc_id and g.start < f.start and g.\"end\" > f.start)"
+
+
 #: Rules of the URL filter: (host and path, action).
 URL_RULES = [(f"{host}.example.{tld}/", "block") for host in ("ads-track", "casino-win", "tionsh", "ththan") for tld in ("com", "net", "org")] + [
     ("blog.casino-win.example.com/en/", "allow"),
@@ -144,10 +167,19 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, neighbor_id, rank, similarity): ten neighbours of every embedding."""
+    """(vec_id, neighbor_id, rank, similarity): ten neighbours of every embedding; the similarity in thousandths."""
     from .nn_descent import neighbours
 
-    return neighbours(table(spark, sf_dir, "embeddings"))
+    found = neighbours(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("similarity", F.floor(F.col("similarity").cast("double") * 1000 + 0.123).cast("bigint"))
+
+
+#: Brute force, which the graph search equals where one block holds all nodes; beyond, its recall is measured.
+OP9_SQL = """
+with pairs as (select a.vec_id, b.vec_id as neighbor_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+ranked as (select *, row_number() over (partition by vec_id order by s desc, neighbor_id) as n from pairs)
+select vec_id, neighbor_id, n::int as rank, floor(s * 1000 + 0.123)::bigint as similarity from ranked where n <= 10
+"""
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,4 +207,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": op3_sql(), "op5_url_filter": OP5_SQL, "op10_suffix_dedup": op10_sql()}
+    return {"op3_decontaminate": op3_sql(), "op4_secret_scan": op4_sql(), "op5_url_filter": OP5_SQL, "op9_nearest_neighbours": OP9_SQL, "op10_suffix_dedup": op10_sql()}
