@@ -927,7 +927,7 @@ def test_queries_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
     got = queries.queries()[name](spark, DATA)
     want = con.sql(queries.oracle_sql()[name])
@@ -937,6 +937,26 @@ def test_queries_against_sql(spark, name):
     assert rows(got.select(*cols).collect()) == rows(want.select(*[f'"{c}"' for c in cols]).fetchall()) != {}
 
 
+def test_pipeline_awkward(spark, awkward, empty, tmp_path):
+    """Nulls, empty and long texts, repeats and clashing columns through every stage; and no rows at all."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "no such words here at all, none"), (2, None), (3, "")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs, kept = awkward, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"s{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"s{k}"))
+        assert docs.columns == awkward.columns
+        kept.append(sorted((r.doc_id or 0) for r in docs.select("doc_id").collect()))
+    # Texts without a letter go first; then of the long pair, and of the repeated row with its like, one stays; nothing after that but by budget.
+    assert not {2, 3, 7} & set(kept[0])
+    assert kept[1].count(10) <= 1 and {4, 5} - set(kept[1]) == {5}
+    assert kept[2] == kept[1] == kept[3] and set(kept[4]) <= set(kept[3])
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, empty, str(tmp_path))
+        assert none.columns == empty.columns and none.count() == 0
+
+
 def test_names_of_queries():
     assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)]
     assert set(queries.oracle_sql()) <= set(queries.queries())
