@@ -841,7 +841,46 @@ def brute_passages(docs, least):
 
 
 def test_cover():
-    assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
+    for v, members in suffix_dedup.COVERS.items():
+        assert {(a - b) % v for a in members for b in members} == set(range(v))
+    assert [suffix_dedup.Cover(n).v for n in (32, 40, 41, 50, 60, 61, 500)] == [13, 13, 21, 21, 21, 31, 31]
+    cover = suffix_dedup.Cover(50)
+    for a in range(21):
+        for b in range(21):
+            assert {(a + cover.shift[a, b]) % 21, (b + cover.shift[a, b]) % 21} <= set(cover.members.tolist())
+
+
+def brute_beside(docs, doc, start, least):
+    """The other documents next to a suffix, among those that share its first tokens, in the order of token codes."""
+    by = {i: suffix_dedup.codes(next(tc.tokens(pa.array([" ".join(t)])))[2]).tolist() for i, t in docs}
+    texts = dict(docs)
+    want = texts[doc][start : start + least]
+    found = sorted((by[i][k:], i, k) for i, t in docs for k in range(len(t) - least + 1) if t[k] == want[0] and t[k : k + least] == want)
+    at = [(i, k) for _, i, k in found].index((doc, start))
+    before = next((i for _, i, _ in found[at::-1] if i != doc), None)
+    after = next((i for _, i, _ in found[at:] if i != doc), None)
+    return before, after
+
+
+@pytest.mark.parametrize("least", [32, 50])
+def test_what_stands_beside_a_passage(spark, least):
+    rng = random.Random(72)
+    pieces = [words(rng, n) for n in (55, 60, 75, 90, 130, 200)]
+    docs = []
+    for i in range(60):
+        t = words(rng, rng.randrange(30))
+        for _ in range(rng.randrange(1, 4)):
+            piece = list(rng.choice(pieces))
+            if rng.random() < 0.5:
+                piece[rng.randrange(len(piece))] = f"edit{rng.randrange(3)}"
+            t += piece + words(rng, rng.randrange(3), 4)
+        docs.append((i, t))
+    docs += [(60, ["a"] * 120), (61, ["a"] * 90), (62, list("abc") * 40), (63, list("bca") * 30)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in docs], "doc_id bigint, text string").repartition(3)
+    rows = suffix_dedup.repeated_passages(df, min_tokens=least).collect()
+    assert {(r.doc_id, r.start, r.end, r.is_first) for r in rows} == brute_passages(docs, least) and len(rows) > 60
+    for r in rows:
+        assert (r.before_id, r.after_id) == brute_beside(docs, r.doc_id, r.start, least), r
 
 
 @pytest.mark.parametrize("least", [32, 50])
