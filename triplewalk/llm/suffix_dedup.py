@@ -21,7 +21,7 @@ import gc
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import blobs
@@ -108,12 +108,10 @@ def _superstep(df: DataFrame, parts: int, step) -> DataFrame:
     return df.repartitionById(parts, "part").mapInArrow(run, MESSAGES)
 
 
-def _settle(df: DataFrame) -> DataFrame:
-    """Cuts, then lets the driver forget, and so delete, the shuffles behind."""
-    done = cut(df)
+def _forget(spark: SparkSession) -> None:
+    """Lets the driver forget, and so delete, the shuffles and checkpoints that no frame refers to any more."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return done
+    spark.sparkContext._jvm.System.gc()
 
 
 def _new(*columns: np.ndarray) -> np.ndarray:
@@ -135,7 +133,7 @@ def _groups(key: np.ndarray, doc: np.ndarray, which: np.ndarray):
 
 def _sampler(cover: Cover, min_tokens: int, parts: int):
     def run(batches):
-        out = _Out("sample", parts, 1_500_000)
+        out = _Out("sample", parts, 600_000)
         for batch in batches:
             doc, which = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, _, h, first in tc.tokens(batch.column(2)):
@@ -193,7 +191,7 @@ def _contents(cover: Cover, min_tokens: int, parts: int):
     v = cover.v
 
     def run(batches):
-        content, suffix = _Out("content", parts, 150_000), _Out("suffix", parts, 1_000_000)
+        content, suffix = _Out("content", parts, 60_000), _Out("suffix", parts, 400_000)
         for batch in batches:
             doc, which = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, hi, h, first in tc.tokens(batch.column(2)):
@@ -465,23 +463,31 @@ def repeated_passages(docs: DataFrame, *, min_tokens: int = 50, most_broadcast:
     """
     if min_tokens < LEAST:
         raise ValueError(f"min_tokens must be {LEAST} or more")
-    parts = parallelism(docs.sparkSession)
+    spark = docs.sparkSession
+    parts = parallelism(spark)
     cover = Cover(min_tokens)
     base, names = _texts(docs, most_broadcast)
-    tied = _settle(_superstep(base.mapInArrow(_sampler(cover, min_tokens, parts), MESSAGES), parts, _tie(parts)))
+    tied = cut(_superstep(base.mapInArrow(_sampler(cover, min_tokens, parts), MESSAGES), parts, _tie(parts)))
+    _forget(spark)
     of_documents = tied.filter("kind = 'tied'").repartitionById(parts, "part").mapInArrow(_candidates, "doc bigint, which bigint, places binary, stands binary, names binary")
     texts = base.join(of_documents, ["doc", "which"]).select("doc", "which", "text", "places", "stands", "names")
-    near = _settle(texts.mapInArrow(_contents(cover, min_tokens, parts), MESSAGES))
-    windows = _settle(_superstep(near.filter("kind = 'content'"), parts, _sort_windows(parts)))
+    near = cut(texts.mapInArrow(_contents(cover, min_tokens, parts), MESSAGES))
+    del texts, of_documents
+    _forget(spark)
+    windows = cut(_superstep(near.filter("kind = 'content'"), parts, _sort_windows(parts)))
     members = _superstep(tied.filter("kind = '=members'").union(windows.filter("kind = 'rank of group'")), parts, _to_members(parts))
     samples, reach = windows.filter("kind = 'rank'").union(members), cover.v
+    del tied, windows, members
     while True:
-        samples = _settle(_superstep(_superstep(samples.filter("kind <> '=open'"), parts, _ask(reach, parts)), parts, _refine(parts)))
+        samples = cut(_superstep(_superstep(samples.filter("kind <> '=open'"), parts, _ask(reach, parts)), parts, _refine(parts)))
+        _forget(spark)
         reach *= 2
         left = [blobs.unpack(r.blob)[0][0] for r in samples.filter("kind = '=open'").select("blob").collect()]
         if not sum(left):
             break
     buckets = _superstep(samples.filter("kind <> '=open'").union(near.filter("kind = 'suffix'")), parts, _to_buckets(cover, parts))
-    found = _settle(_superstep(buckets, parts, _order(cover, parts)))
+    found = cut(_superstep(buckets, parts, _order(cover, parts)))
+    del samples, near, buckets
+    _forget(spark)
     passages = found.repartitionById(parts, "part").mapInArrow(_passages(min_tokens), FOUND)
     return passages.join(names, ["doc", "which"]).select(F.col("doc").alias("doc_id"), F.col("sum").alias("text_sum"), "start", "end", "is_first", "before_id", "after_id")
