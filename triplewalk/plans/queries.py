@@ -506,7 +506,7 @@ def oracle_sql() -> dict[str, str]:
         "node_ids": _base(ALL) + "select id, label from nodes",
         "predicate_ids": _base(ALL) + "select id, label from preds",
         "edge_order": _base(DAG) + "select src, row_number() over (partition by src order by eord) - 1 as k, p, dst from edges",
-        "in_out_degree": _base(ALL, "si as (select distinct src, dst from edges where src <> dst)") + "select id, (select count(*) from si where dst = id) as in_degree, (select count(*) from si where src = id) as out_degree from nodes",
+        "in_out_degree": _base(ALL, "si as (select distinct src, dst from edges where src <> dst)") + "select id, coalesce(i, 0) as in_degree, coalesce(o, 0) as out_degree from nodes left join (select dst, count(*) as i from si group by dst) on dst = id left join (select src, count(*) as o from si group by src) on src = id",
         "simple_graph": _base(ALL) + "select distinct src, dst from edges where src <> dst",
         "reverse_graph": _base(DAG) + "select dst as src, p, src as dst from edges",
         "is_entity": _base(TYPED) + "select id, label from nodes where id in (select id from ents)",
