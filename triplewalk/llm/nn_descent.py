@@ -274,7 +274,7 @@ def _final(part, box):
     yield part, "state", {k: s[k] for k in ("nid", "vec", "ids", "sims")}
 
 
-def build(loads: DataFrame, parts: int, *, n: int, k: int = 60, reverse: int = 30, passes: int = 2, stop: float = 0.02) -> DataFrame:
+def build(loads: DataFrame, parts: int, *, n: int, k: int = 60, reverse: int = 30, passes: int = 4, stop: float = 0.02) -> DataFrame:
     """Messages "state" with the neighbour lists of each part: ``k`` neighbours of each of the ``n`` nodes.
 
     Lists begin with the neighbours within blocks of BLOCK nodes, which random hyperplanes cut out, ``passes`` times; descent rounds follow
