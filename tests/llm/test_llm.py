@@ -674,7 +674,15 @@ def test_contexts_of_periodic_texts(spark):
 
 def test_scores_awkward(spark, awkward):
     q = spark.createDataFrame([(1, "w1 w2", "x")], "item_id bigint, text string, pos string")
-    assert suffix_lm.score(q, awkward).count() == 1
+    # Both tokens are known, and stand side by side somewhere in 60,000 random ones or don't.
+    r = suffix_lm.score(q, awkward).first()
+    assert (r.item_id, r.n_tokens) == (1, 3) and r.log_prob < 0 and r.longest_context in (1, 2)
+    each = suffix_lm.score_each(awkward).collect()
+    assert len(each) == awkward.count()
+    assert {(r.n_tokens, r.longest_context) for r in each if r.doc_id in (2, 3, 7)} == {(1, 0)}
+    # A copy is found whole; of three repeated rows each is scored under the two others.
+    assert {r.longest_context for r in each if r.doc_id in (4, 5)} == {60_000}
+    assert {(r.n_tokens, r.longest_context) for r in each if r.doc_id == 10} == {(83, 82)}
 
 
 def test_scores_of_each_document_under_the_others(spark, empty):
@@ -817,6 +825,29 @@ def test_neighbours_awkward(spark):
     assert nn_descent.neighbours(df.limit(0)).count() == 0 and nn_descent.neighbours(df.limit(1)).count() == 0
 
 
+def test_neighbours_among_equal_vectors(spark):
+    """Everyone's neighbour at once: hubs and ties beyond any list."""
+    rng = np.random.default_rng(90)
+    same = rng.normal(size=16).astype(np.float32)
+    others = rng.normal(size=(300, 16)).astype(np.float32)
+    rows = [(i, same.tolist()) for i in range(1400)] + [(2000 + i, v.tolist()) for i, v in enumerate(others)]
+    got = nn_descent.neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>"), k=20, reverse=10).collect()
+    assert len(got) == 1700 * 10 and len({(r.vec_id, r.neighbor_id) for r in got}) == 17000
+    assert all(r.similarity == pytest.approx(1, abs=1e-5) and r.neighbor_id < 2000 for r in got if r.vec_id < 2000)
+    e = others / np.linalg.norm(others, axis=1, keepdims=True)
+    found = collections.defaultdict(set)
+    for r in got:
+        found[r.vec_id].add(r.neighbor_id if r.neighbor_id >= 2000 else -1)
+    s = np.concatenate([e @ e.T, (e @ (same / np.linalg.norm(same)))[:, None]], axis=1)
+    s[np.arange(300), np.arange(300)] = -9
+    recall = []
+    for i in range(300):
+        want = {2000 + j if j < 300 else -1 for j in np.argsort(-s[i])[:10]}
+        if -1 not in want:
+            recall.append(len(want & found[2000 + i]) / 10)
+    assert np.mean(recall) >= 0.9
+
+
 # 10 Passages
 
 
