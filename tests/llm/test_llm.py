@@ -997,9 +997,10 @@ def test_queries_against_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
+    data = "/root/testdata/sf0.01"
     for t in ("documents", "benchmark", "pages", "embeddings"):
-        con.sql(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
-    got = queries.queries()[name](spark, DATA)
+        con.sql(f"create view {t} as select * from read_parquet('{data}/{t}.parquet')")
+    got = queries.queries()[name](spark, data)
     want = con.sql(queries.oracle_sql()[name])
     cols = sorted(got.columns)
     assert cols == sorted(want.columns)

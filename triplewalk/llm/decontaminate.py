@@ -183,7 +183,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, min_match: int = 12, min_
                     if len(row):
                         yield pa.record_batch([batch.column(0).take(pa.array(lo + row)), items.take(pa.array(item)), *[pa.array(c) for c in rest]], names=["doc_id", "item_id", "start", "item_start", "length", "matched"])
 
-        part = base.mapInArrow(run, "doc_id bigint, item_id bigint, start bigint, item_start bigint, length bigint, matched bigint")
+        part = base.mapInArrow(tc.trimmed(run), "doc_id bigint, item_id bigint, start bigint, item_start bigint, length bigint, matched bigint")
         found = part if found is None else found.union(part)
     return found
 
@@ -199,6 +199,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, min_match: int =
             out = np.zeros(len(texts), bool)
             for lo, _, h, first in tc.tokens(texts):
                 out[lo + shared.value.overlaps(h, first, min_match, min_share)[0]] = True
+            tc.trim()
             return pa.array(out)
 
         return leaks

@@ -264,7 +264,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     low = [x if x > 0 else None for x in low.tolist()]
                 yield pa.record_batch([batch.column(0).slice(lo, n), pa.array(lang, pa.string()), pa.array(low, pa.float64()), pa.array(ok, pa.bool_())], names=["doc_id", "lang", "cross_entropy", "accepted"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id bigint, lang string, cross_entropy double, accepted boolean")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tc.trimmed(run), "doc_id bigint, lang string, cross_entropy double, accepted boolean")
 
 
 def drop_rejected(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -279,6 +279,7 @@ def drop_rejected(docs: DataFrame, model: Model | None) -> DataFrame:
         if shared.value is not None:
             for lo, hi in tc.chunks(texts):
                 out[lo:hi] = shared.value.classify(texts.slice(lo, hi - lo))[2]
+        tc.trim()
         return pa.array(out)
 
     return docs.filter(accepted(docs["text"]))

@@ -43,7 +43,9 @@ def word_count(text: Column) -> Column:
 
     @arrow_udf("bigint")
     def count(texts: pa.Array) -> pa.Array:
-        return pa.array(count_words(texts))
+        out = pa.array(count_words(texts))
+        tc.trim()
+        return out
 
     return count(text)
 

@@ -264,7 +264,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
                 grade, p = model.grades(batch.column(1).slice(lo, hi - lo)) if model else ([None] * (hi - lo),) * 2
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(grade, pa.float64()), pa.array(p, pa.float64())], names=["doc_id", "expected_grade", "top_probability"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(run, "doc_id bigint, expected_grade double, top_probability double")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).mapInArrow(tc.trimmed(run), "doc_id bigint, expected_grade double, top_probability double")
 
 
 def select(docs: DataFrame, model: Model | None, least: float | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ def _tokens(table: str, key: str) -> str:
     return f"select distinct {key}, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') as t from {table} where text is not null"
 
 
-def op3_sql() -> str:
+def _op3_sql() -> str:
     from .decontaminate import MASKS, SPAN
 
     masks = ", ".join(f"({k}, [{', '.join(str(j) for j, bit in enumerate(m) if bit == '1')}])" for k, m in enumerate(MASKS))
@@ -83,7 +83,7 @@ PLAIN_SECRETS = {
 }
 
 
-def op4_sql() -> str:
+def _op4_sql() -> str:
     parts = []
     for kind, (before, secret, after) in PLAIN_SECRETS.items():
         p = f"'({before})({secret}){after}'"
@@ -167,18 +167,18 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(vec_id, neighbor_id, rank, similarity): ten neighbours of every embedding; the similarity in thousandths."""
+    """(vec_id, neighbor_id, rank, similarity): ten neighbours of every embedding; the similarity in hundredths, as it is of single precision."""
     from .nn_descent import neighbours
 
     found = neighbours(table(spark, sf_dir, "embeddings"))
-    return found.withColumn("similarity", F.floor(F.col("similarity").cast("double") * 1000 + 0.123).cast("bigint"))
+    return found.withColumn("similarity", F.floor(F.col("similarity").cast("double") * 100 + 0.123).cast("bigint"))
 
 
 #: Brute force, which the graph search equals where one block holds all nodes; beyond, its recall is measured.
 OP9_SQL = """
 with pairs as (select a.vec_id, b.vec_id as neighbor_id, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as s from embeddings a join embeddings b on a.vec_id <> b.vec_id),
 ranked as (select *, row_number() over (partition by vec_id order by s desc, neighbor_id) as n from pairs)
-select vec_id, neighbor_id, n::int as rank, floor(s * 1000 + 0.123)::bigint as similarity from ranked where n <= 10
+select vec_id, neighbor_id, n::int as rank, floor(s * 100 + 0.123)::bigint as similarity from ranked where n <= 10
 """
 
 
@@ -189,7 +189,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "is_first")
 
 
-def op10_sql(least: int = 50) -> str:
+def _op10_sql(least: int = 50) -> str:
     return f"""
 with d as ({_tokens("documents", "doc_id")}),
 w as (select doc_id, p, array_to_string(t[p + 1 : p + {least}], ' ') as run from (select *, unnest(range(greatest(0, len(t) - {least - 1}))) as p from d)),
@@ -207,4 +207,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": op3_sql(), "op4_secret_scan": op4_sql(), "op5_url_filter": OP5_SQL, "op9_nearest_neighbours": OP9_SQL, "op10_suffix_dedup": op10_sql()}
+    return {"op3_decontaminate": _op3_sql(), "op4_secret_scan": _op4_sql(), "op5_url_filter": OP5_SQL, "op9_nearest_neighbours": OP9_SQL, "op10_suffix_dedup": _op10_sql()}

@@ -105,7 +105,7 @@ def _superstep(df: DataFrame, parts: int, step) -> DataFrame:
                 merged[kind] = [np.concatenate(c) for c in zip(*box.pop(kind))]
             yield from step(part, merged)
 
-    return df.repartitionById(parts, "part").mapInArrow(run, MESSAGES)
+    return df.repartitionById(parts, "part").mapInArrow(tc.trimmed(run), MESSAGES)
 
 
 def _forget(spark: SparkSession) -> None:
@@ -467,11 +467,11 @@ def repeated_passages(docs: DataFrame, *, min_tokens: int = 50, most_broadcast:
     parts = parallelism(spark)
     cover = Cover(min_tokens)
     base, names = _texts(docs, most_broadcast)
-    tied = cut(_superstep(base.mapInArrow(_sampler(cover, min_tokens, parts), MESSAGES), parts, _tie(parts)))
+    tied = cut(_superstep(base.mapInArrow(tc.trimmed(_sampler(cover, min_tokens, parts)), MESSAGES), parts, _tie(parts)))
     _forget(spark)
     of_documents = tied.filter("kind = 'tied'").repartitionById(parts, "part").mapInArrow(_candidates, "doc bigint, which bigint, places binary, stands binary, names binary")
     texts = base.join(of_documents, ["doc", "which"]).select("doc", "which", "text", "places", "stands", "names")
-    near = cut(texts.mapInArrow(_contents(cover, min_tokens, parts), MESSAGES))
+    near = cut(texts.mapInArrow(tc.trimmed(_contents(cover, min_tokens, parts)), MESSAGES))
     del texts, of_documents
     _forget(spark)
     windows = cut(_superstep(near.filter("kind = 'content'"), parts, _sort_windows(parts)))
