@@ -581,6 +581,26 @@ def test_candidates_miss_no_pair_of_a_bucket():
                         assert (k, x, y) in paired or {(k, x), (k, y)} <= linked
 
 
+def test_buckets_of_strangers_cost_no_exchange_a_round(spark, monkeypatch):
+    """Thirty versions of one text meet in the same buckets, but are too far apart for the given share; each has a copy. However many
+    rounds of leaders that takes, the exchanges are few, and each copy is found."""
+    rng = random.Random(31)
+    base, texts = words(rng, 300, 30_000), []
+    for _ in range(30):
+        version = list(base)
+        for at in rng.sample(range(300), 25):
+            version[at] = words(rng, 1, 10**9)[0]
+        copy = list(version)
+        copy[150:152] = copy[151:149:-1]
+        texts += [version, copy]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    cuts, cut = [], simhash_dedup.cut
+    monkeypatch.setattr(simhash_dedup, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    found = groups(simhash_dedup.near_duplicates(docs, max_share=0.02).collect())
+    assert found == [[2 * k, 2 * k + 1] for k in range(30)]
+    assert len(cuts) <= 8
+
+
 @pytest.mark.parametrize(("table_rows", "copies"), [(20, 4), (200, 14), (1500, 120)])
 def test_a_group_of_copies_does_not_stop_its_own_words(spark, table_rows, copies):
     rng = random.Random(table_rows)
