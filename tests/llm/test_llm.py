@@ -581,6 +581,19 @@ def test_candidates_miss_no_pair_of_a_bucket():
                         assert (k, x, y) in paired or {(k, x), (k, y)} <= linked
 
 
+def test_stop_words_are_counted_whole(spark):
+    """In a table of 60,000 short texts, words with a few contexts more or less than the share are told apart."""
+    of = lambda names: next(tc.tokens(pa.array([" ".join(names)])))[2] % np.uint64(simhash_dedup.BUCKETS)
+    common = [f"common{k}" for k in range(16)]
+    buckets, edge = of(common), 3000
+    others = [f"y{i}" for i in range(60_100)]
+    others = [w for w, alone in zip(others, ~np.isin(of(others), buckets)) if alone][:60_000]
+    # Words 0 to 7 have a context less than the share.
+    texts = [f"{w} {common[i // edge]}" if i // edge < 16 and i % edge >= (i // edge < 8) else w for i, w in enumerate(others)]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert len(texts) == 60_000 and simhash_dedup.stop_buckets(docs, 0.05).tolist() == sorted(buckets[8:].tolist())
+
+
 def test_buckets_of_strangers_cost_no_exchange_a_round(spark, monkeypatch):
     """Thirty versions of one text meet in the same buckets, but are too far apart for the given share; each has a copy. However many
     rounds of leaders that takes, the exchanges are few, and each copy is found."""
