@@ -732,6 +732,26 @@ def test_scores_of_each_document_under_the_others(spark, empty):
     assert suffix_lm.score_each(empty).count() == 0
 
 
+def test_scores_of_texts_that_part_after_a_long_passage(spark):
+    """The probabilities of what comes next are below the least number, their logarithms aren't."""
+    passage = [f"w{i}" for i in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join([*passage, end])) for k, end in enumerate("xy")], "doc_id bigint, text string")
+    rows = suffix_lm.score_each(docs).collect()
+    # A text's end is never seen after the other's last token.
+    least = np.log(1 / 3003) - np.log(3003) - 3000 * np.log(2)
+    for r in rows:
+        assert (r.n_tokens, r.longest_context) == (3002, 3000) and least - 3000 < r.log_prob < least + 10
+
+
+def test_scores_of_texts_that_repeat_themselves_alone(spark):
+    """Where no other text has a window, how often its own repeats it isn't counted on: 4000 lengths of each of 4000 places."""
+    docs = spark.createDataFrame([(0, " ".join(["a"] * 4000)), (1, "a a b")], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in suffix_lm.score_each(docs).collect()}
+    assert {k: (r.n_tokens, r.longest_context) for k, r in got.items()} == {0: (4001, 2), 1: (4, 2)}
+    n, p, mean, longest = brute_score(["a"] * 4000, [["a", "a", "b"]])
+    assert got[0].log_prob == pytest.approx(p) and got[0].mean_context == pytest.approx(mean)
+
+
 def test_op7_scores_every_document(spark):
     assert queries.op7_lm_scoring(spark, DATA).count() == table(spark, "documents").count()
 
