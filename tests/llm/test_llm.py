@@ -752,6 +752,36 @@ def test_scores_of_texts_that_repeat_themselves_alone(spark):
     assert got[0].log_prob == pytest.approx(p) and got[0].mean_context == pytest.approx(mean)
 
 
+def test_copies_are_counted_where_they_branch(spark, monkeypatch):
+    """Near copies score as by brute force; of long copies few windows are asked for each token, and not some more at each of its lengths."""
+    rng = random.Random(12)
+    passage = [rng.choice("abcdef") for _ in range(24)]
+    texts = [passage[rng.randrange(10, 20) :] + [rng.choice("abxy") for _ in range(rng.randrange(4))] + passage[: rng.randrange(11)] for _ in range(24)] + [["a"] * 28, ["b", *["a"] * 20]]
+    for some in (texts, texts[:7] * 2):
+        docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(some)], "doc_id bigint, text string").repartition(3)
+        got = {r.doc_id: r for r in suffix_lm.score_each(docs).collect()}
+        for k, t in enumerate(some):
+            n, p, mean, longest = brute_score(t, [x for j, x in enumerate(some) if j != k])
+            assert (got[k].n_tokens, got[k].longest_context) == (n, longest) and got[k].log_prob == pytest.approx(p) and got[k].mean_context == pytest.approx(mean)
+
+    # Two texts of 6000 tokens that differ in every 500th, in one process.
+    asked, ask = [], suffix_lm._asked
+    monkeypatch.setattr(suffix_lm, "_asked", lambda texts, e, length: asked.append(len(e)) or ask(texts, e, length))
+    words = [f"w{i}" for i in range(6000)]
+    other = [f"v{i}" if i % 500 == 0 else w for i, w in enumerate(words)]
+    batch = pa.record_batch([pa.array([0, 1]), pa.array([" ".join(words), " ".join(other)]), pa.array([0, 1])], names=["rid", "text", "key"])
+    rows = list(suffix_lm._chunks(1)([batch]))
+    for last in (0, 2, 3, 4):
+        rows = list(suffix_lm._learn(last, 1, 12_002, 1.0)([*rows, *suffix_lm._count(suffix_lm._ask(last, 1)(rows))]))
+    whole, partly = ([r for r in rows if r.column("nth")[0].as_py() == nth] for nth in (suffix_lm.WHOLE, suffix_lm.PARTLY))
+    while any(r.column("due")[0].as_py() for r in partly):
+        partly = list(suffix_lm._learn_long(1)([*partly, *suffix_lm._count(suffix_lm._ask(None, 1)(partly))]))
+    found = list(suffix_lm._scores(12_002, 1.0)([*whole, *partly]))[0].to_pydict()
+    assert found["longest_context"] == [499, 499]
+    # Each window is listed when it is asked and when it is answered.
+    assert sum(asked) < 2 * 6 * 12_002
+
+
 def test_op7_scores_every_document(spark):
     assert queries.op7_lm_scoring(spark, DATA).count() == table(spark, "documents").count()
 
