@@ -789,6 +789,16 @@ def test_op7_scores_every_document(spark):
 # 8 Mixing
 
 
+def test_mix_counts_a_text_once_a_pass(spark, monkeypatch):
+    """A filter of the counts, given or inferred, makes no second worker count them again."""
+    plans, plan = [], lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(mixing, "cut", lambda df: plans.append(plan(df)) or cluster.cut(df))
+    docs = spark.createDataFrame([(k, f"s{k % 2}", "a " * k) for k in range(40)], "doc_id bigint, source string, text string")
+    out = mixing.mix(docs, budget_share=0.5)
+    assert out.count() > 0 and out.filter("text = ''").count() == 0
+    assert plans[0].count("ArrowEvalPython") == 1 and plan(out).count("ArrowEvalPython") == 1
+
+
 def test_fit_is_the_best_subset_sum():
     rng = np.random.default_rng(10)
     for _ in range(200):

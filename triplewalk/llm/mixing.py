@@ -162,8 +162,9 @@ def mix(docs: DataFrame, *, weights: dict | None = None, default_weight: float =
     joined by a shuffle beyond. Texts are counted twice, once for the counts and once as they are selected.
     """
     n, h, at = (fresh(docs, c) for c in ("_length", "_hash", "_source"))
-    counted = docs.withColumn(n, count(docs["text"])).withColumn(at, docs["source"].cast("string")).withColumn(h, F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"])).filter(F.col(n) > 0)
-    keys = cut(counted.select(F.col(at).alias("source"), F.col(n).alias("length"), F.col(h).alias("hash")))
+    # Never null, and filtered behind the checkpoint: a filter of the count would be pushed below it, and count every text once more.
+    counted = docs.withColumn(n, F.coalesce(count(docs["text"]), F.lit(0).cast("bigint"))).withColumn(at, docs["source"].cast("string")).withColumn(h, F.xxhash64(F.lit(seed), docs["doc_id"], docs["text"]))
+    keys = cut(counted.select(F.col(at).alias("source"), F.col(n).alias("length"), F.col(h).alias("hash"))).filter("length > 0")
     counts = cut(keys.groupBy("source", "length").agg(F.count("*").alias("count")))
     sums = {r[0]: int(r[1]) for r in counts.groupBy("source").agg(F.sum(F.col("length") * F.col("count"))).collect()}
     share = budgets(sums, weights or {}, default_weight, int(sum(sums.values()) * budget_share) if budget_tokens is None else budget_tokens)
