@@ -782,6 +782,42 @@ def test_copies_are_counted_where_they_branch(spark, monkeypatch):
     assert sum(asked) < 2 * 6 * 12_002
 
 
+def test_scores_store_texts_once(spark, monkeypatch):
+    """A round neither writes the texts again nor shuffles them: only answers, and what is known of chunks."""
+    stored, plans = [], []
+
+    def cut(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        stored.append(cluster.cut(df))
+        return stored[-1]
+
+    monkeypatch.setattr(suffix_lm, "cut", cut)
+    docs = spark.createDataFrame([(k, " ".join(f"w{i % 40}" for i in range(k, k + 60))) for k in range(12)], "doc_id bigint, text string").repartition(3)
+    assert suffix_lm.score_each(docs).count() == 12
+    assert [df.filter(f"nth = {suffix_lm.WHOLE} and texts is not null").count() > 0 for df in stored] == [True] + [False] * (len(stored) - 1)
+    # Of what is learned: new states and answers.
+    assert max(p.count("Exchange") for p in plans) <= 2
+
+
+def test_settled_points_are_let_go():
+    """Rounds of long windows carry only points that have something to ask; the others wait."""
+    text = [f"w{i % 3}" for i in range(28)]
+    batch = pa.record_batch([pa.array([0, 1]), pa.array([" ".join(text), " ".join([*text[:20], "x", *text[20:]])]), pa.array([0, 1])], names=["rid", "text", "key"])
+    rows = list(suffix_lm._chunks(1)([batch]))
+    for last in (0, 2, 3, 4):
+        rows = list(suffix_lm._learn(last, 1, 59, 1.0)([*rows, *suffix_lm._count(suffix_lm._ask(last, 1)(rows))]))
+    whole, partly = ([r for r in rows if r.column("nth")[0].as_py() == nth] for nth in (suffix_lm.WHOLE, suffix_lm.PARTLY))
+    rounds = 0
+    while any(r.column("due")[0].as_py() for r in partly):
+        partly = list(suffix_lm._learn_long(1)([*partly, *suffix_lm._count(suffix_lm._ask(None, 1)(partly))]))
+        rounds += 1
+    assert rounds > 2 and [len(suffix_lm._points(r.column("points")[0].as_py()).e) for r in partly] == [0]
+    found = list(suffix_lm._scores(59, 1.0)([*whole, *partly]))[0].to_pydict()
+    for k, t in enumerate(batch.column("text").to_pylist()):
+        n, p, mean, longest = brute_score(t.split(), [batch.column("text")[1 - k].as_py().split()])
+        assert (found["n_tokens"][k], found["longest_context"][k]) == (n, longest) and found["log_prob"][k] == pytest.approx(p) and found["mean_context"][k] == pytest.approx(mean)
+
+
 def test_op7_scores_every_document(spark):
     assert queries.op7_lm_scoring(spark, DATA).count() == table(spark, "documents").count()
 
