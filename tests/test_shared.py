@@ -111,3 +111,14 @@ def test_results_are_written_by_many_tasks(spark):
     bcv = push(nodes.select(F.col("id").alias("src")), w.uniform(rows), 0.7, 1e-5)
     sizes = [r["count"] for r in bcv.groupBy(F.spark_partition_id().alias("part")).count().collect()]
     assert sum(sizes) > 25_000_000 and max(sizes) < 5_000_000
+
+
+def test_triples_are_written_by_many_tasks(spark):
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        path = queries.written_triples(spark, "/root/testdata/sf0.001", queries.ALL).removeprefix("file:")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    files = [f for f in sorted(os.listdir(path)) if f.startswith("part-")]
+    assert len(files) > 3 and max(os.path.getsize(f"{path}/{f}") for f in files) < sum(os.path.getsize(f"{path}/{f}") for f in files) * 0.6
