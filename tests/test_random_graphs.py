@@ -114,3 +114,16 @@ def test_labels_that_are_twice(spark):
     bcv = spark.createDataFrame([(0, 0, 0.5), (0, 3, 0.25)], "src bigint, ctx bigint, val double")
     both = spark.createDataFrame([(0, "<p>"), (3, "<p>")], "id bigint, label string")
     assert v.labelled(bcv, both).first().text == '[{"label":"<p>","id":0,"val":0.5},{"label":"<p>","id":3,"val":0.25}]'
+
+
+def test_a_level_does_not_write_all_edges_anew(spark, monkeypatch):
+    """A long way beside many edges that stay to the end: what is cut in a turn is of the size of nodes."""
+    way = [(i + 1, i) for i in range(12)]
+    wide = [(100 + i, j) for i in range(30) for j in (0, 1, 2, 12)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(13), *range(100, 130)]], "id bigint")
+    edges = spark.createDataFrame(way + wide, "src bigint, dst bigint")
+    sizes, cut = [], o.cut
+    monkeypatch.setattr(o, "cut", lambda df: sizes.append((x := cut(df)).count()) or x)
+    found = {r.id: r.level for r in o.levels(nodes, edges).collect()}
+    assert found == {i: i for i in range(13)} | {100 + i: 13 for i in range(30)}
+    assert sum(n > len(found) for n in sizes) <= 3

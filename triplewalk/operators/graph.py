@@ -32,17 +32,21 @@ def dedup(triples: DataFrame) -> DataFrame:
 
 def node_ids(triples: DataFrame) -> DataFrame:
     """nodes(id, label): dense from 0 by first appearance, a triple's subject before its object."""
-    ends = triples.select(F.explode(F.array(F.struct(F.col("s").alias("label"), "ord", F.lit(0).alias("side")), F.struct(F.col("o").alias("label"), "ord", F.lit(1).alias("side")))).alias("x"))
-    first = ends.groupBy("x.label").agg(F.min(F.struct("x.ord", "x.side")).alias("at"))
-    return number(first, [F.col("at")], "id").select("id", "label")
+    # Two minima of plain columns, which are hashed; one of (ord, side) would be sorted, all ends of them.
+    no = F.lit(None)
+    ends = triples.select(F.explode(F.array(F.struct(F.col("s").alias("label"), F.col("ord").alias("at_s"), no.alias("at_o")), F.struct(F.col("o").alias("label"), no.alias("at_s"), F.col("ord").alias("at_o")))).alias("x"))
+    first = ends.groupBy("x.label").agg(F.min("x.at_s").alias("at_s"), F.min("x.at_o").alias("at_o"))
+    side = F.when(F.col("at_s") <= F.coalesce("at_o", "at_s"), 0).otherwise(1)
+    return number(first.select("label", F.least("at_s", "at_o").alias("at"), side.alias("side")), [F.col("at"), F.col("side")], "id").select("id", "label")
 
 
 def encode(triples: DataFrame) -> Graph:
     """Nodes and edges, both cut: everything that follows reads them several times."""
     nodes = node_ids(triples)
     subjects, objects = (nodes.select(F.col("id").alias(i), F.col("label").alias(t)) for i, t in (("src", "s"), ("dst", "o")))
-    edges = dedup(triples).join(subjects, "s").join(objects, "o").select("src", F.col("ord").alias("eord"), "p", "dst")
-    return Graph(nodes, cut(edges))
+    # Triples are told apart where they lie after the last join, so that they move twice, not three times.
+    edges = triples.join(subjects, "s").join(objects, "o").groupBy("src", "p", "o", "dst").agg(F.min("ord").alias("eord"))
+    return Graph(nodes, cut(edges.select("src", "eord", "p", "dst")))
 
 
 def predicate_ids(edges: DataFrame, n_nodes: int) -> DataFrame:

@@ -13,6 +13,8 @@ from ..lineage import cut, number
 from .graph import simple
 
 KERNEL_EDGES = 5_000_000
+#: Nodes that are sent to all tasks, 8 bytes each, where they go in one turn.
+SENT = 200_000
 #: Levels whose results are gathered before they are cut into one.
 GATHERED = 32
 
@@ -33,25 +35,56 @@ class _Gathered:
         return out
 
 
-def _first(nodes: DataFrame, rest: DataFrame) -> DataFrame:
-    return cut(nodes.select("id").join(rest.select(F.col("src").alias("id")).distinct(), "id", "left_anti"))
-
-
-def _without(rest: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the nodes all of whose out-neighbours are in ``ready``, the edges that don't lead there), cut as one."""
-    marked = cut(rest.join(ready.select(F.col("id").alias("dst"), F.lit(True).alias("gone")), "dst", "left").select("src", "dst", F.col("gone").isNotNull().alias("gone")))
-    return marked.groupBy(F.col("src").alias("id")).agg(F.min("gone").alias("all")).filter("all").select("id"), marked.filter("not gone").select("src", "dst")
+class _Peel:
+    """The pairs of a simple graph from which nodes go in turns, each after its out-neighbours. A turn reads the pairs and counts, by source, those
+    that lead to nodes that go; pairs are written anew only when half of them have gone."""
+
+    def __init__(self, pairs: DataFrame):
+        self.rest, self.done, self.gone = cut(pairs), [], 0
+        self.size = self.rest.count()
+        self.left = cut(self.rest.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")))
+
+    def first(self, nodes: DataFrame) -> tuple[DataFrame, int]:
+        ready = cut(nodes.select("id").join(self.left, "id", "left_anti"))
+        return ready, ready.count()
+
+    def go(self, ready: DataFrame, n: int) -> tuple[DataFrame, int]:
+        """``ready``, ``n`` nodes, go; the nodes that are ready next, and their number."""
+        to = ready.select(F.col("id").alias("dst"))
+        hits = cut(self.rest.join(F.broadcast(to) if n <= SENT else to, "dst").groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k")))
+        self.done.append(to)
+        self.gone += hits.agg(F.sum("k")).first()[0] or 0
+        left = cut(self.left.join(hits, "id", "left").select("id", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
+        self.left, after = left.filter("n > 0"), left.filter("n = 0").select("id")
+        if self.size > self.gone >= self.size / 2 or len(self.done) >= GATHERED:
+            self.prune()
+        return after, after.count()
+
+    def prune(self) -> None:
+        if self.done:
+            for to in self.done:
+                self.rest = self.rest.join(to, "dst", "left_anti").select("src", "dst")
+            self.rest, self.done, self.gone = cut(self.rest), [], 0
+            self.size = self.rest.count()
+
+    def busiest(self) -> list:
+        """The node with the most in-neighbours that are left, the least of several, or none; its own pairs count no more."""
+        self.prune()
+        top = self.rest.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).collect()
+        for r in top:
+            self.rest, self.left = self.rest.filter(F.col("src") != r.id), self.left.filter(F.col("id") != r.id)
+        return [(r.id,) for r in top]
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level) of the nodes whose walks end: level 0 has no out-neighbour, any other is one above its highest. Nodes that
-    reach a cycle have no level; self loops and parallel edges don't count. Each level is a join of the edges that are left, cut once."""
-    rest = cut(simple(edges))
-    ready, out, k = _first(nodes, rest), _Gathered(), 0
+    reach a cycle have no level; self loops and parallel edges don't count."""
+    peel, out, k = _Peel(simple(edges)), _Gathered(), 0
+    ready, n = peel.first(nodes)
     while True:
         out.add(ready.withColumn("level", F.lit(k).cast("bigint")))
-        ready, rest = _without(rest, ready)
-        if not ready.take(1):
+        ready, n = peel.go(ready, n)
+        if not n:
             return out.all()
         k += 1
 
@@ -118,20 +151,17 @@ def compute_order(nodes: DataFrame, edges: DataFrame, kernel_edges: int = KERNEL
 
         both = nodes.select(F.col("id").alias("src"), F.lit(-1).cast("bigint").alias("dst")).unionByName(pairs)
         return both.repartition(1).mapInArrow(run, "pos bigint, id bigint")
-    rest, out, pos = cut(pairs), _Gathered(), 0
-    ready = _first(nodes, rest)
+    peel, out, pos = _Peel(pairs), _Gathered(), 0
+    ready, n = peel.first(nodes)
     while True:
-        n = ready.count()
         if not n:
-            top = rest.groupBy(F.col("dst").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
-            ready, n = cut(top), 1
-            if not ready.take(1):
+            top = peel.busiest()
+            if not top:
                 break
-            rest = rest.join(F.broadcast(ready.select(F.col("id").alias("src"))), "src", "left_anti").select("src", "dst")
+            ready, n = nodes.sparkSession.createDataFrame(top, "id bigint"), 1
         out.add(number(ready, [F.col("id")], "pos", pos).select("pos", "id"))
         pos += n
-        ready, rest = _without(rest, ready)
-        ready = cut(ready)
+        ready, n = peel.go(ready, n)
     return out.all() if out.parts else nodes.select(F.lit(0).cast("bigint").alias("pos"), "id").limit(0)
 
 
